@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import html_extract, language_id, toxicity
 
-MODULES = [language_id]
+MODULES = [language_id, toxicity, html_extract]
 
 
 def queries() -> dict:
