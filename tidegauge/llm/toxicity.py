@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-Every word, with a border on each side, gives its byte n-grams of 3 to 6 (A-Z in
+Every word, with a border on each side, gives its byte n-grams of 4 to 7 (A-Z in
 lower case); they are hashed to rows of an embedding table. A document's vector
 is the mean over all its n-grams, and a linear softmax over the two classes reads
 it. Table and softmax are trained jointly in numpy, so a misspelling that was
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The fit takes about this many labelled texts of each class, chosen by a hash of their id.
-SAMPLE_PER_CLASS = 2000
-ROWS, DIM, LENGTHS, EPOCHS, BATCH, SCALE = 1 << 18, 8, (3, 4, 5, 6), 24, 64, 64.0
+SAMPLE_PER_CLASS = 3000
+ROWS, DIM, LENGTHS, EPOCHS, BATCH, SCALE = 1 << 18, 4, (4, 5, 6, 7), 16, 64, 64.0
 #: A row of the table is trained if at least this many, and this share, of the fitted texts have it; others stay at 0.
-LEAST_TEXTS, LEAST_SHARE, DECAY = 3, 0.002, 1e-3
+LEAST_TEXTS, LEAST_SHARE, DECAY = 3, 0.005, 1e-2
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray):
