@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from . import common
 
 BLOCK_IDS = 1 << 16
 #: Encoded pieces of text that a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -88,7 +89,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.falls_apart:
@@ -97,18 +98,26 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new, odd, once = set(), [False] * len(texts), {}
+        odd, new, ending, once = [False] * len(texts), set(), [], {}
         for k, pieces in enumerate(split):
             for p in set(pieces).difference(known):
                 rest = p[1:] if p[:1] in ("\0", "\n") else p
-                if not rest or rest[0].isspace() or rest[-1].isspace() or rest[0] == "\0" or p[0] == "\0" and "\0" in rest:
+                if not rest or rest[0].isspace() or rest[-1].isspace() or p[0] == "\0" and "\0" in rest:
                     odd[k] = True
                     break
+                if rest[-1] in ".," and rest[-2:-1].isalpha():  # the mark after a letter is a token of its own
+                    ending.append(p)
+                    p = p[:-1]
+                    if p in known:
+                        continue
                 new.add(p)
-        if new:
-            new = list(new)
+        if new or ending:
+            new = [*new, "\0.", "\0,"]
             for p, ids in zip(new, self.whole([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in new]), strict=True):
                 (known if len(p) < 40 else once)[p] = ids
+            for p in ending:
+                start = p[:-1]
+                (known if len(p) < 40 else once)[p] = (known[start] if start in known else once[start]) + known["\0" + p[-1]]
         out = []
         for k, pieces in enumerate(split):
             if odd[k]:
