@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, token_pack, toxicity
+from . import html_extract, language_id, mixing, pii, token_pack, toxicity
 
-MODULES = [language_id, token_pack, toxicity, html_extract]
+MODULES = [language_id, token_pack, pii, mixing, toxicity, html_extract]
 
 
 def queries() -> dict:
