@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_extract, language_id, mixing, pii, token_pack, toxicity
+from . import fingerprint, html_extract, language_id, mixing, ngram_join, pii, token_pack, toxicity
 
-MODULES = [language_id, token_pack, pii, mixing, fingerprint, toxicity, html_extract]
+MODULES = [language_id, token_pack, pii, mixing, fingerprint, ngram_join, toxicity, html_extract]
 
 
 def queries() -> dict:
