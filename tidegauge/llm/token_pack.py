@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from . import common
 
@@ -88,44 +89,80 @@ class Encoder:
         self.falls_apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.known: dict[str, bytes] = {}
 
+        # ids of tokens that begin with a space: in pieces joined by spaces, each begins a piece
+        self.spaced = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.spaced[i] = token.startswith("\u0120")
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.falls_apart else []
+        self.falls_apart = self.falls_apart and len(self.line_end) == 1
+        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str], by: str) -> list[bytes]:
+        """Ids of each piece, a space before it included if by is one, from encoding all as one text."""
+        if not pieces:
+            return []
+        text = by + by.join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        if by == " ":
+            start = np.flatnonzero(self.spaced[ids])
+            end = np.append(start[1:], len(ids))
+        else:
+            start = np.flatnonzero(ids == self.line_end[0])
+            end = np.append(start[1:], len(ids))
+            start = start + 1
+        if len(start) != len(pieces):
+            return self.whole([by + p if by == " " else p for p in pieces])
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip((start * 4).tolist(), (end * 4).tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.falls_apart:
             return self.whole(texts)
-        split = [("\0" + t).replace("\n", " \n").split(" ") for t in texts]  # \0 marks the text's begin
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        odd, new, ending, once = [False] * len(texts), set(), [], {}
-        for k, pieces in enumerate(split):
-            for p in set(pieces).difference(known):
+        get = known.get
+        split, values, gaps, new, tails = [], [], [], {}, []
+        for t in texts:
+            pieces = ("\0" + t).replace("\n", " \n").split(" ")  # \0 marks the text's begin
+            found = list(map(get, pieces))
+            missing = [i for i, v in enumerate(found) if v is None] if None in found else []
+            for i in missing:
+                p = pieces[i]
                 rest = p[1:] if p[:1] in ("\0", "\n") else p
                 if not rest or rest[0].isspace() or rest[-1].isspace() or p[0] == "\0" and "\0" in rest:
-                    odd[k] = True
+                    found = None  # spaces in a row or at an end: the library takes this text whole
                     break
-                if rest[-1] in ".," and rest[-2:-1].isalpha():  # the mark after a letter is a token of its own
-                    ending.append(p)
+                if rest[-1] in ".," and rest[-2:-1].isalpha():  # a token of its own after a letter
+                    tails.append(p)
                     p = p[:-1]
                     if p in known:
                         continue
-                new.add(p)
-        if new or ending:
-            new = [*new, "\0.", "\0,"]
-            for p, ids in zip(new, self.whole([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in new]), strict=True):
-                (known if len(p) < 40 else once)[p] = ids
-            for p in ending:
-                start = p[:-1]
-                (known if len(p) < 40 else once)[p] = (known[start] if start in known else once[start]) + known["\0" + p[-1]]
+                new[p] = None
+            split.append(pieces)
+            values.append(found)
+            gaps.append(missing)
+        plain = [p for p in new if p[0] not in "\0\n"]
+        first = [p for p in new if p[0] in "\0\n"]
+        new.update(zip(plain, self._joined(plain, " "), strict=True))
+        line_end = np.array(self.line_end, "<u4").tobytes()
+        for p, ids in zip(first, self._joined([p[1:] for p in first], "\n"), strict=True):
+            new[p] = ids if p[0] == "\0" else line_end + ids
+        for p in tails:
+            start = p[:-1]
+            new[p] = (known[start] if start in known else new[start]) + self.marks[p[-1]]
         out = []
-        for k, pieces in enumerate(split):
-            if odd[k]:
-                out.append(self.whole([texts[k]])[0])
-            elif once and any(len(p) >= 40 for p in pieces):
-                out.append(b"".join([known[p] if p in known else once[p] for p in pieces]))
-            else:
-                out.append(b"".join([known[p] for p in pieces]))
+        for t, pieces, found, missing in zip(texts, split, values, gaps, strict=True):
+            if found is None:
+                out.append(self.whole([t])[0])
+                continue
+            for i in missing:
+                found[i] = new[pieces[i]]
+            out.append(b"".join(found))
+        known.update((p, ids) for p, ids in new.items() if len(p) < 40)
         return out
 
 
@@ -142,6 +179,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, i
     bits = bits_for(Encoder(vocabulary).vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     by = order or [F.col(id_col), F.col(text_col)]
+    ranged = order or [F.col(id_col)]  # texts are no range keys: equal ids stay together and are sorted there
 
     def run(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
@@ -172,7 +210,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, i
         if ids:
             yield row()
 
-    sorted_docs = docs.select(*docs.columns).repartitionByRange(common.n_partitions(spark), *by).sortWithinPartitions(*by).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sorted_docs = docs.repartitionByRange(common.n_partitions(spark), *ranged).sortWithinPartitions(*by).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = sorted_docs.mapInArrow(run, f"shard int, block int, first bigint, n_ids bigint, ids array<{kind}>, ends array<bigint>, payload binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     # one row a shard: as many as shuffle partitions, whatever the number of documents
@@ -220,8 +258,14 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs docs in the order of their files and of the rows in them, as the stage before left them; a plain scan has that order."""
     path = common.shared_dir(spark, "packed")
-    write(docs.select("doc_id", "text"), path, common.default_vocabulary())
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        order = [F.col("file"), F.col("row")]
+    except AnalysisException:
+        rows, order = docs.select("doc_id", "text"), None
+    write(rows, path, common.default_vocabulary(), order=order)
     return read(spark, path)
 
 
