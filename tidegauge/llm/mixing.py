@@ -27,9 +27,10 @@ SEED = 20240607
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and tab to carriage return; 0 for null."""
-    gaps = F.size(F.split(text, "[\\x20\\x09-\\x0D]+", -1))
-    edge = lambda c: F.when(c.rlike("[\\x20\\x09-\\x0D]"), 1).otherwise(0)
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(gaps - edge(F.substring(text, 1, 1)) - edge(F.when(text.rlike("[^\\x20\\x09-\\x0D]"), F.substring(text, -1, 1)).otherwise(""))).cast("long")
+    separator = "[\\x20\\x09-\\x0D]"
+    at_edge = lambda c: F.when(c.rlike(separator), 1).otherwise(0)
+    pieces = F.size(F.split(text, separator + "+", -1))
+    return F.when(text.rlike("[^\\x20\\x09-\\x0D]"), pieces - at_edge(F.substring(text, 1, 1)) - at_edge(F.substring(text, -1, 1))).otherwise(0).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -122,5 +123,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of docs: a document taken twice comes twice, in the order of the mix within its files."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"))
+    taken = mix(common.saved(sized, "sizes")).select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("digest").alias("g_"), "epoch", "finish").distinct()
+    same = [F.col("doc_id").eqNullSafe(F.col("d_")), F.col("source").eqNullSafe(F.col("s_")), F.xxhash64("text") == F.col("g_")]
+    rows = docs.join(taken, same)
+    return rows.repartitionByRange(common.n_partitions(spark), "finish").sortWithinPartitions("finish", "epoch", "d_").select(*docs.columns)
+
+
 QUERIES = {"op5_mixing": op5_mixing}
 ORACLE_SQL: dict[str, str] = {}
