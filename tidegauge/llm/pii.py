@@ -122,7 +122,7 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", disclo
     mentions = rows.where("size(spans) > 0").select("row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"), F.explode("mentions").alias("m"))
     mentions = mentions.select("row", "taken", "m.entity", "m.at", "m.last", F.lower("m.near").alias("near"))
     mentions = located(mentions, "near", {"terms": (TERM, lambda t: F.lit(True), lambda m: F.lit(True))})
-    terms = mentions.withColumn("width", F.length("near")).select("row", "entity", "taken", "at", "last", "width", F.explode("terms").alias("x"))
+    terms = mentions.withColumn("width", F.length("near")).select("row", "entity", "taken", "at", "last", "width", F.explode_outer("terms").alias("x"))  # plain explode() would infer a filter and compute all terms once more for each
     terms = terms.where(((F.col("x.start") > 0) | (F.col("at") == 0)) & ((F.col("x.end") < F.col("width")) | F.col("last")))
     terms = terms.select("row", "entity", F.col("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"), "taken")
     terms = terms.where(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("taken")
