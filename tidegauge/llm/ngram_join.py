@@ -185,17 +185,24 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(c, f): every node of edges (a, b) with the least node connected to it. Labels spread and jump until none changes."""
-    edges = common.saved(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = common.saved(edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("f")), "labels")
+    """(c, f): every node of edges (a, b) with one label for each component.
+
+    Each node takes its least neighbour as label, edges are drawn anew between labels, and so on while any is left;
+    labels are hashes, so each round leaves a fraction of the edges.
+    """
+    edges = common.saved(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("c").alias("b"), "f"), "b").groupBy(F.col("a").alias("c")).agg(F.min("f").alias("m"))
-        spread = labels.join(near, "c").select("c", "f", F.least("f", "m").alias("g"))
-        jump = labels.select(F.col("c").alias("g"), F.col("f").alias("h"))
-        new = common.saved(spread.join(jump, "g", "left").select("c", F.col("f").alias("old"), F.least("g", F.coalesce("h", "g")).alias("f")), "labels")
-        if not new.where("f != old").limit(1).count():
-            return new.select("c", "f")
-        labels = new.select("c", "f")
+        step = edges.select(F.col("a").alias("c"), F.col("b").alias("o")).union(edges.select(F.col("b").alias("c"), F.col("a").alias("o")))
+        step = common.saved(step.groupBy("c").agg(F.min("o").alias("m")).select("c", F.least("c", "m").alias("f")), "step")
+        if labels is None:
+            labels = step
+        else:
+            labels = common.saved(labels.join(step.select(F.col("c").alias("f"), F.col("f").alias("g")), "f", "left").select("c", F.coalesce("g", "f").alias("f")), "labels")
+        ends = edges.join(step.select(F.col("c").alias("a"), F.col("f").alias("x")), "a").join(step.select(F.col("c").alias("b"), F.col("f").alias("y")), "b")
+        edges = common.saved(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
+            return labels
 
 
 class Family:
