@@ -29,6 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = BLOCKS - frozenset("br body html td th tr tbody thead tfoot caption dd dt legend summary".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|disqus|replies|respond|login|search|pagination|pager|skip|legal|copyright|toolbar|complementary|contentinfo|dialog|form)(?:$|[\s_-])", re.I)
 MAIN = frozenset(("article", "main"))
+APART = 0.7
 MARKED_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|recommend\w*|promo\w*|ads?|advert\w*|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 
 
@@ -58,6 +59,7 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.tags = 0  # a line's tags are those inside it
             if tag in CLOSES_P or tag == "li":
                 top = self.open[-1][0] if self.open else ""
                 if tag in CLOSES_P and any(x[0] == "p" for x in self.open[-8:]):
@@ -94,6 +96,7 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.tags = 0
         if tag == "p":
             # an end tag p closes only a p inside the same container
             for k in range(len(self.open) - 1, -1, -1):
@@ -116,12 +119,17 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The border between two clusters of one dimension: the mean of their means, to a fixed point (at most 50 steps)."""
+    """The border between two clusters of one dimension: the mean of their means, to a fixed point (at most 50 steps).
+
+    Clusters less than APART apart (in log ratio) are one, and all of it is content.
+    """
     cut = values.mean()
     for _ in range(50):
         low, high = values[values <= cut], values[values > cut]
         if not len(low) or not len(high):
-            return -np.inf  # one cluster: all is content
+            return -np.inf
+        if high.mean() - low.mean() < APART:
+            return -np.inf
         new = (low.mean() + high.mean()) / 2
         if new == cut:
             break
