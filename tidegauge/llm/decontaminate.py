@@ -16,7 +16,7 @@ least SIMILARITY.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -80,7 +80,7 @@ def blocks(fingerprint: Column) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, start_word, n_words, similarity, distance): each row's best window for each item that it has a near copy of.
 
-    The best window is the most similar, of equal ones the first; start_word counts the document's words from 0. A
+    The best window is the most similar of those that start at a shared shingle, of equal ones the first; start_word counts the document's words from 0. A
     document shorter than an item is one window. Items and documents without words match nothing. Ids may be null;
     rows with the same id are told apart by their texts, and equal rows give one result row.
     """
@@ -99,19 +99,26 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     distinct_total = grams.groupBy("item").agg(F.sum("weight").alias("distinct_total"))
     pairs = have.join(sized(distinct_total), "item").join(sized(totals), "item")
     pairs = pairs.where(F.col("have") >= SIMILARITY * F.col("total") - (F.col("total") - F.col("distinct_total")) - 1e-9)
-    pairs = common.saved(pairs.select(*key, "item", "n_words", "n_shingles", "total"), "pairs")
+    pairs = common.saved(pairs.select(*key, "item", "n_words", "n_shingles", "total", "distinct_total"), "pairs")
     ids = pairs.select(*key).distinct()
     same = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_")]
     own = docs.withColumn("text_hash", F.xxhash64("text")).join(ids.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_")), same, "left_semi").dropDuplicates(key)
     own = _words(own, "text").withColumn("len", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
     shing = common.saved(shingled(own, [*key, "len"]), "shingles")
     lens = shing.groupBy(*key).agg(F.max("len").alias("len"))
-    # windows near hits: a start is possible if the window holds one
-    near = hits.join(pairs.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("item").alias("item_"), "n_shingles", "total"), [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("text_hash_"), F.col("item") == F.col("item_")])
-    near = near.join(lens.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3"), "len"), [F.col("id").eqNullSafe(F.col("id3")), F.col("text_hash") == F.col("hash3")])
-    last = F.greatest(F.lit(0), F.col("len") - F.col("n_shingles"))
-    near = near.select(*key, "item", "pos", "s", "weight", "n_shingles", "total", last.cast("int").alias("last"))
-    starts = near.withColumn("start", F.explode(F.sequence(F.least("last", F.greatest(F.lit(0), F.col("pos") - F.col("n_shingles").cast("int") + 1)), F.least("last", F.col("pos")))))
+    # A window that starts before its first shared shingle is no better than the one that starts at it: its intersection
+    # is no larger, and what it has more of weighs 1, the most. So windows start at shared shingles.
+    near = hits.join(pairs.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("item").alias("item_"), "n_shingles", "total", "distinct_total"), [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("text_hash_"), F.col("item") == F.col("item_")])
+    near = near.select(*key, "item", "pos", "s", "weight", "n_shingles", "total", "distinct_total")
+    later = Window.partitionBy(*key, "item").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    near = common.saved(near.withColumn("later", F.sum("weight").over(later)), "near")
+    # repeats of a shingle in the item can match more than one of the document, and those all stand among the later ones
+    first = near.where(F.col("later") >= SIMILARITY * F.col("total") - 1e-9)
+    first = first.join(lens.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3"), "len"), [F.col("id").eqNullSafe(F.col("id3")), F.col("text_hash") == F.col("hash3")])
+    last = F.greatest(F.lit(0), F.col("len") - F.col("n_shingles")).cast("int")
+    first = first.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("item").alias("item_"), F.least("pos", last).alias("start")).distinct()
+    inside = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("item") == F.col("item_"), F.col("pos") >= F.col("start"), F.col("pos") < F.col("start") + F.col("n_shingles")]
+    starts = near.join(first, inside).select(*key, "item", "start", "s", "weight", "n_shingles", "total")
     # min of counts is at most the count in the item, so hits beyond it do not help
     limit = grams.select(F.col("item").alias("item_"), F.col("s").alias("s_"), F.col("count").alias("limit"))
     starts = starts.groupBy(*key, "item", "start", "s", "weight", "n_shingles", "total").agg(F.count("*").alias("n"))
