@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 import tempfile
 import uuid
@@ -23,7 +22,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+#: Rows of a batch that Python workers get at once, unless the session sets another number; the default of 10,000 can be
+#: gigabytes of long texts.
+BATCH_ROWS = "1000"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +49,7 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
 
 def saved(df: DataFrame, kind: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    bounded(df.sparkSession)
     path = shared_dir(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,7 +75,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows with about `limit` bytes; a longer text comes alone and whole."""
     data, offsets = text_bytes(column)
     i, n = 0, len(offsets) - 1
@@ -87,8 +99,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         base[0] = inverse[0] = 1
         return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
 
-    size = 1 << max(21, int(n).bit_length())
-    if size > 1 << 22:
+    size = 1 << max(20, int(n).bit_length())
+    if size > 1 << 20:
         return make(size)
     return per_worker(("powers", size), lambda: make(size))
 
@@ -156,6 +168,3 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def test_folder() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.01")

@@ -142,38 +142,23 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
 
     def packed(batches):
         for b in batches:
-            for _, _, data, offsets in common.chunks(b.column(0), 1 << 23):
+            for _, _, data, offsets in common.chunks(b.column(0), 4_000_000):
                 ks, cs = [], []
-                lo = 0
-                while lo < len(offsets) - 1:  # sets in small pieces, stars over all
-                    hi = min(len(offsets) - 1, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 21), "right")) - 1))
-                    grams, doc, at, key = gram_sets(rule, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for grams, doc, at, key in pieces(rule, data, offsets):  # sets in small pieces, stars over all
                     k, d = part_keys(rule, grams, doc, at)
                     ks.append(k)
                     cs.append(key[d])
-                    lo = hi
                 k, c, edges = stars(np.concatenate(ks), np.concatenate(cs))
                 if len(edges):
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - int(edges[0, 0] % n_parts)], pa.int64()), pa.array([edges[:, 0].tobytes()]), pa.array([edges[:, 1].tobytes()])], ["part", "a", "b"])
-                part = (k.view(U) % U(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(n_parts + 1))
-                k, c = k[order], c[order]
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([k[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "a", "b"])
+                yield dealt(k, c, n_parts)
 
     def joined(batches):
-        ks, cs, out = [], [], []
-        for b in batches:
-            for part, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                if part < 0:
-                    out.append(np.stack([x, y], 1))
-                else:
-                    ks.append(x.copy())
-                    cs.append(y.copy())
-        if ks:
-            out.append(stars(np.concatenate(ks), np.concatenate(cs))[2])
+        out = []
+        keys, classes, edges = gathered(batches)
+        if len(keys):
+            out.append(stars(keys, classes)[2])
+        out += edges
         if out:
             edges = np.unique(np.concatenate(out), axis=0)
             for i in range(0, len(edges), 1 << 16):
@@ -184,6 +169,68 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     return rows.repartition(n_parts, "part").mapInArrow(joined, "a bigint, b bigint").distinct()
 
 
+def pieces(rule: Rule, data: np.ndarray, offsets: np.ndarray, limit: int = 1_000_000):
+    """gram_sets of runs of documents of about `limit` bytes."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = min(len(offsets) - 1, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
+        yield gram_sets(rule, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        lo = hi
+
+
+def dealt(keys: np.ndarray, classes: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """A row for each part with its keys, of which 32 bits are enough beside the part (equal ones are only candidates), and classes."""
+    part = (keys.view(U) % U(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+    k, c = (keys.view(U)[order] >> U(32)).astype(np.uint32), classes[order]
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([k[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "a", "b"])
+
+
+def gathered(batches) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, classes, edges) of a task's rows of dealt(); rows of negative parts are edges."""
+    ks, cs, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for b in batches:
+        for part, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            y = np.frombuffer(y.as_buffer(), np.int64)
+            if part < 0:
+                edges.append(np.stack([np.frombuffer(x.as_buffer(), np.int64), y], 1))
+            else:
+                ks.append(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) | part << 32)
+                cs.append(y.copy())
+    return np.concatenate(ks), np.concatenate(cs), edges
+
+
+def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
+    """(c): classes of docs of which a share of percent grams at least is in another class too; no other can link."""
+
+    def packed(batches):
+        for b in batches:
+            for _, _, data, offsets in common.chunks(b.column(0), 4_000_000):
+                ks, cs = [], []
+                for grams, doc, _, key in pieces(rule, data, offsets):
+                    ks.append(common.mix(grams + U(0x632BE59BD9B4E019)).view(np.int64))
+                    cs.append(key[doc])
+                yield dealt(np.concatenate(ks), np.concatenate(cs), n_parts)
+
+    def counted(batches):
+        keys, classes, _ = gathered(batches)
+        order = np.lexsort((classes, keys))
+        keys, classes = keys[order], classes[order]
+        keep = np.ones(len(keys), bool)
+        keep[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
+        keys, classes = keys[keep], classes[keep]
+        same = np.zeros(len(keys) + 1, bool)
+        same[1:-1] = keys[1:] == keys[:-1]
+        c, n = np.unique(classes[same[1:] | same[:-1]], return_counts=True)
+        if len(c):
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "shared"])
+
+    rows = docs.select("text").mapInArrow(packed, "part bigint, a binary, b binary")
+    return rows.repartition(n_parts, "part").mapInArrow(counted, "c bigint, shared bigint").groupBy("c").agg(F.sum("shared").alias("shared"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(c, f): every node of edges (a, b) with one label for each component.
 
@@ -403,15 +450,29 @@ def block_rows(rows: DataFrame, big: DataFrame, limit: int) -> DataFrame:
 
 def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """(c, f): classes that link with any other, with the least class of their component. docs: (id, text)."""
-    spark = docs.sparkSession
     total = classes.where("n > 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = common.n_partitions(spark)
-    # a part key for about every second to sixth gram; two million keys a task
-    families = connected(candidate_edges(docs, rule, max(parts, int(total // 4_000_000))))
-    ids = classes.join(families, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")).select("id").distinct()
-    ids = common.saved(ids, "ids")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+    parts = common.n_partitions(docs.sparkSession)
+    # about half a million part keys a task at the most
+    n_parts = max(2 * parts, int(total // 1_000_000))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """One text of each class."""
+        ids = classes.join(some, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")).select("id").distinct()
+        ids = common.saved(ids, "ids")
+        few = ids.count() <= BROADCAST_ROWS
+        ids = ids.withColumnRenamed("id", "id_")
+        return docs.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("text")
+
+    edges = common.saved(candidate_edges(docs, rule, n_parts), "candidates")
+    if rule.percent < 88:
+        # parts are small then, and a passage that many documents share can be all of one: leave out who can't link
+        nodes = edges.select(F.col("a").alias("c")).union(edges.select(F.col("b").alias("c"))).distinct()
+        shared = promising(texts_of(nodes), rule, n_parts)
+        some = shared.join(classes.groupBy("c").agg(F.max("n").alias("n")), "c").where(F.col("shared") * 100 >= F.col("n") * rule.percent).select("c")
+        some = common.saved(some, "promising")
+        edges = candidate_edges(texts_of(some), rule, n_parts)
+    families = connected(edges)
+    texts = texts_of(families)
 
     def run(batches):
         for b in batches:
