@@ -119,8 +119,19 @@ def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     pick = F.xxhash64("i").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     rows = rows.where(pick < F.when(F.col("y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    got = texts.join(F.broadcast(rows), "i").select("i", "t", "y").toArrow().sort_by("i").to_pydict()  # rows: 2 * per_class in the mean
-    model = fit([t.encode() for t in got["t"]], np.array(got["y"], int))
+    rows = texts.join(F.broadcast(rows), "i").select("i", "t", "y")  # 2 * per_class rows in the mean
+
+    def train(batches):
+        texts, labels = [], []
+        for b in batches:
+            texts += [t.encode() for t in b.column(1).to_pylist()]
+            labels += b.column(2).to_pylist()
+        model = fit(texts, np.array(labels, int))
+        yield pa.RecordBatch.from_arrays([pa.array([model["part"].tobytes()], pa.binary()), pa.array([float(model["bias"])])], ["part", "bias"])
+
+    # one task trains on the bounded sample, so the driver holds the finished model alone
+    got = rows.repartition(1).sortWithinPartitions("i", "y").mapInArrow(train, "part binary, bias double").collect()
+    model = {"part": np.frombuffer(got[0]["part"], np.float32), "bias": got[0]["bias"]} if got else fit([], np.zeros(0))
     if len(share) == 2:
         model["bias"] += float(np.log(share[0] / share[1]))
     return model
