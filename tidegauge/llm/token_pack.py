@@ -26,7 +26,7 @@ from . import common
 
 BLOCK_IDS = 1 << 16
 #: Encoded pieces of text that a worker remembers at once.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 
 
 def bits_for(vocabulary: int) -> int:
