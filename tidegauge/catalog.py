@@ -2,24 +2,89 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
 _ALL: dict[str, tuple[Callable, str | None]] = {}
-_MODULES: tuple[str, ...] = ("tidegauge.operators.features",)
+_ABOUT: dict[str, dict] = {}
+_MODULES: tuple[str, ...] = (
+    "tidegauge.operators.features",
+    "tidegauge.operators.transforms",
+    "tidegauge.operators.anomalies",
+    "tidegauge.operators.forecasts",
+    "tidegauge.operators.information",
+    "tidegauge.operators.decisions",
+    "tidegauge.operators.neighbours",
+    "tidegauge.operators.mining",
+    "tidegauge.operators.alignment",
+    "tidegauge.operators.scoring",
+    "tidegauge.operators.evaluation",
+    "tidegauge.operators.folds",
+    "tidegauge.operators.kernels",
+    "tidegauge.functions.text",
+    "tidegauge.plans.beliefs",
+    "tidegauge.plans.pipelines",
+    "tidegauge.sources.candles",
+    "tidegauge.streaming.online",
+)
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, **about):
     """Registers a function (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows."""
 
     def add(f):
-        _ALL[name or f.__name__] = (f, sql)
+        key = name or f.__name__
+        if key in _ALL:
+            raise ValueError(f"duplicate query {key}")
+        _ALL[key] = (f, sql)
+        _ABOUT[key] = about | {"doc": (f.__doc__ or "").strip()}
         return f
 
     return add
 
 
+#: What both dialects lack in common: (pattern, Spark, DuckDB).
+DIALECTS = [
+    (r"@pct\(", "percentile(", "quantile_cont("),
+    (r"@rows\(", "explode(sequence(", "unnest(generate_series("),
+    (r"@list\(", "array_sort(collect_list(", "list_sort(list("),
+    (r"@div\b", "div", "//"),
+    (r"@size\(", "size(", "len("),
+    (r"@array\(", "array(", "list_value("),
+]
+
+
+def dialect(sql: str, spark: bool) -> str:
+    for pattern, a, b in DIALECTS:
+        sql = re.sub(pattern, a if spark else b, sql)
+    if spark:  # literals with a point are decimals in Spark's SQL
+        sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", sql)
+    return sql
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The plan of a query over the tables in sf_dir; views are bound when the plan is made."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def sql_query(name: str, sql: str, doc: str = "", **about) -> None:
+    """Registers one SQL text, with the marks of DIALECTS, for both engines."""
+    text = dialect(sql, spark=True)
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_sql(spark, sf_dir, text)
+
+    f.__name__, f.__doc__ = name, doc
+    query(dialect(sql, spark=False), name, **about)(f)
+
+
 def _loaded() -> dict[str, tuple[Callable, str | None]]:
     import importlib
 
@@ -34,3 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _loaded().items() if s}
+
+
+def about() -> dict[str, dict]:
+    _loaded()
+    return _ABOUT

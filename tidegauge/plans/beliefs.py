@@ -1,0 +1,132 @@
+"""The belief record, its catalogue of types, validation, migration and coherence; the registry of operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import about, query, sql_query
+from ..sources.tables import OBS_EVENTS, obs_events
+
+VERSION = "0.1"
+# Belief types with the payload keys that each must have.
+REQUIRED = {
+    "signal": ["series"],
+    "spectral": ["dominant_freq", "energy", "spectrum"],
+    "denoised": ["series"],
+    "anomaly": ["n_anomalies", "fraction"],
+    "cluster": ["labels", "n_clusters"],
+    "density": ["labels", "bic"],
+    "pattern": ["patterns", "n_patterns"],
+    "regime": ["current_state", "next_state"],
+    "next_state": ["current_state", "distribution", "next_state"],
+    "forecast": [],
+    "equation": ["coef"],
+    "decision": [],
+    "action": [],
+    "embedding": ["latent"],
+}
+
+
+def confidence(c: Column) -> Column:
+    """Between 0 and 1; not a number counts as 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0))))
+
+
+def belief(kind: str, source: str, conf: Column, **payload: Column) -> Column:
+    """A belief as a struct: type, payload (map of text), confidence, source, schema_version."""
+    pairs = [x for k, v in payload.items() for x in (F.lit(k), v.cast("string"))]
+    return F.struct(F.lit(kind).alias("type"), (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("payload"), confidence(conf).alias("confidence"), F.lit(source).alias("source"), F.lit(VERSION).alias("schema_version"))
+
+
+def catalog_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(REQUIRED.items()), "type string, required array<string>")
+
+
+def violations(beliefs: DataFrame) -> DataFrame:
+    """Rows (.., violation) of beliefs of an unknown type (nothing else is asked of those), another version, or without a required key."""
+    spark = beliefs.sparkSession
+    rows = beliefs.join(F.broadcast(catalog_table(spark).withColumnRenamed("type", "known")), F.col("b.type") == F.col("known"), "left")  # 14 rows
+    unknown = F.when(F.col("known").isNull(), F.array(F.lit("unknown_type")))
+    missing = F.transform(F.array_except("required", F.map_keys("b.payload")), lambda k: F.concat(F.lit("missing_key:"), k))
+    version = F.when(F.col("b.schema_version") != VERSION, F.array(F.lit("version_mismatch"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("violation", F.explode(F.coalesce(unknown, F.concat(version, missing)))).drop("known", "required")
+
+
+def migrated(b: Column) -> Column:
+    """Version 0.0 to 0.1: a forecast's value is called estimate."""
+    old = b["schema_version"] == "0.0"
+    renamed = F.transform_keys(b["payload"], lambda k, _: F.when(k == "value", F.lit("estimate")).otherwise(k))
+    return F.struct(b["type"].alias("type"), F.when(old & (b["type"] == "forecast"), renamed).otherwise(b["payload"]).alias("payload"), b["confidence"].alias("confidence"), b["source"].alias("source"), F.when(old, F.lit(VERSION)).otherwise(b["schema_version"]).alias("schema_version"))
+
+
+def example_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four beliefs of each series, one of an unknown type, one of the old version, one without a key."""
+    g = obs_events(spark, sf_dir).groupBy("series_id").agg(F.avg("x0").alias("m"), F.count("*").alias("n"))
+    old = belief("forecast", "drift", F.col("m") / 100, value=F.col("m"))
+    old = F.struct(old["type"].alias("type"), old["payload"].alias("payload"), old["confidence"].alias("confidence"), old["source"].alias("source"), F.lit("0.0").alias("schema_version"))
+    kinds = F.array(belief("anomaly", "iqr", F.lit(0.5), n_anomalies=F.col("n"), fraction=F.col("m")), belief("anomaly", "mad", F.lit(2.0), n_anomalies=F.col("n")), belief("riddle", "x", F.lit(-1.0)), old)
+    return g.select("series_id", F.explode(kinds).alias("b"))
+
+
+@query(f"WITH {OBS_EVENTS}, s AS (SELECT DISTINCT series_id FROM obs) SELECT series_id, v.source, v.violation FROM s CROSS JOIN (VALUES ('mad', 'missing_key:fraction'), ('x', 'unknown_type'), ('drift', 'version_mismatch')) v(source, violation)", layer="interlingua")
+def validate_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the example beliefs."""
+    return violations(example_beliefs(spark, sf_dir)).select("series_id", "b.source", "violation")
+
+
+@query(f"WITH {OBS_EVENTS}, s AS (SELECT count(DISTINCT series_id) AS n FROM obs) SELECT v.type, n * v.k AS beliefs, n * v.ok AS conforming FROM s CROSS JOIN (VALUES ('anomaly', 2, 1), ('riddle', 1, 0), ('forecast', 1, 1)) v(type, k, ok)", layer="interlingua")
+def conformance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beliefs and conforming ones by type, after migration."""
+    b = example_beliefs(spark, sf_dir).select("series_id", migrated(F.col("b")).alias("b"))
+    bad = violations(b).select("series_id", F.col("b.source").alias("source")).distinct().withColumn("bad", F.lit(1))
+    rows = b.select("series_id", "b.type", F.col("b.source").alias("source")).join(bad, ["series_id", "source"], "left")
+    return rows.groupBy("type").agg(F.count("*").alias("beliefs"), F.count_if(F.col("bad").isNull()).alias("conforming"))
+
+
+@query(f"WITH {OBS_EVENTS} SELECT series_id, 'forecast' AS type, '0.1' AS schema_version, round(avg(x0), 4) AS estimate, round(least(1, avg(x0) / 100), 6) AS confidence FROM obs GROUP BY series_id", layer="interlingua")
+def migrate_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old forecasts in the new version."""
+    b = example_beliefs(spark, sf_dir).select("series_id", migrated(F.col("b")).alias("b")).where("b.type = 'forecast'")
+    return b.select("series_id", "b.type", "b.schema_version", F.round(F.col("b.payload")["estimate"].cast("double"), 4).alias("estimate"), F.round("b.confidence", 6).alias("confidence"))
+
+
+@query("SELECT * FROM (VALUES ('anomaly', 'fraction', 1, 2), ('anomaly', 'n_anomalies', 2, 2)) v(type, key, sources_with, sources)", layer="interlingua")
+def interlingua_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For types of two sources or more, how many of them have each payload key."""
+    b = example_beliefs(spark, sf_dir).select("b.type", "b.source", F.map_keys("b.payload").alias("keys"))
+    n = b.groupBy("type").agg(F.count_distinct("source").cast("int").alias("sources")).where("sources >= 2")
+    k = b.select("type", "source", F.explode("keys").alias("key")).groupBy("type", "key").agg(F.count_distinct("source").cast("int").alias("sources_with"))
+    return k.join(n, "type").select("type", "key", "sources_with", "sources")
+
+
+sql_query("confidence_clamp", f"WITH {OBS_EVENTS} SELECT series_id, t, round(greatest(0, least(1, x0 / 100)), 6) AS confidence FROM obs", "Confidences are kept between 0 and 1.", layer="interlingua")
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """The operators of this engine as a table: name, layer, whether they rewrite the sequence, and what they do."""
+    rows = [(k, v.get("layer"), bool(v.get("transformer")), v.get("doc", "")) for k, v in about().items()]
+    return spark.createDataFrame(rows, "name string, layer string, transformer boolean, doc string")
+
+
+@query(None, layer="registry")
+def genome_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with each operator's role: features come before predictors, decisions and actions end a pathway."""
+    role = F.when(F.col("layer").isin("decision", "rl"), "terminal").when(F.col("layer").isin("sequence", "probability", "equation"), "predictor").otherwise("feature")
+    return registry(spark).withColumn("role", role)
+
+
+@query(None, layer="registry")
+def compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers that may follow one another: forward only, and nothing after a terminal."""
+    order = [("signal", 0), ("noise", 1), ("pattern", 2), ("sequence", 3), ("probability", 4), ("equation", 5), ("decision", 6), ("rl", 7)]
+    a = spark.createDataFrame(order, "a string, i int")
+    b = spark.createDataFrame(order, "b string, j int")
+    return a.join(b, (F.col("i") <= F.col("j")) & (F.col("i") < 6)).select("a", "b")  # eight layers
+
+
+@query(None, layer="registry")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators of each family, by words in their names."""
+    families = spark.createDataFrame([(x,) for x in ("anomaly", "regression", "forecast", "entropy", "bandit", "patterns", "filter", "hawkes", "markov", "score")], "family string")
+    return registry(spark).join(families, F.col("name").contains(F.col("family"))).groupBy("family").agg(F.count("*").alias("operators"))

@@ -1,4 +1,7 @@
-"""The given tables, and the keyed sequences defined on them: obs(series_id, t, x0 [, x1 ...]), t from 0 without gaps."""
+"""The given tables, and the keyed sequences defined on them: obs(series_id, t, x0 [, x1 ...]), t from 0 without gaps.
+
+The SQL forms are common table expressions that Spark and DuckDB read alike.
+"""
 
 from __future__ import annotations
 
@@ -16,5 +19,15 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("x0")).withColumn("t", F.row_number().over(w) - 1).select("series_id", "t", "x0")
 
 
-#: The same series in SQL.
+def obs_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series of days: revenue and quantity shipped. As many rows as the calendar has days, at any scale."""
+    days = table(spark, sf_dir, "lineitem").groupBy("l_shipdate").agg(F.sum("l_extendedprice").cast("double").alias("x0"), F.sum("l_quantity").cast("double").alias("x1"))
+    return days.select(F.lit(0).cast("long").alias("series_id"), (F.row_number().over(Window.orderBy("l_shipdate")) - 1).alias("t"), "x0", "x1")
+
+
 OBS_EVENTS = "obs AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x0 FROM events)"
+OBS_DAY = "obs AS (SELECT cast(0 AS bigint) AS series_id, row_number() OVER (ORDER BY l_shipdate) - 1 AS t, x0, x1 FROM (SELECT l_shipdate, cast(sum(l_extendedprice) AS double) AS x0, cast(sum(l_quantity) AS double) AS x1 FROM lineitem GROUP BY l_shipdate) d)"
+#: The first of these with the previous value, the difference and the series' length.
+OBS_DIFF = OBS_EVENTS + ", d AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS dx, lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS px, count(*) OVER (PARTITION BY series_id) AS n FROM obs)"
+#: Cross-section of 5 assets: daily order value by priority.
+PANEL = "panel AS (SELECT row_number() OVER (ORDER BY o_orderdate) - 1 AS t, a1, a2, a3, a4, a5 FROM (SELECT o_orderdate, " + ", ".join(f"cast(sum(CASE WHEN o_orderpriority LIKE '{i}%' THEN o_totalprice ELSE 0 END) AS double) AS a{i}" for i in range(1, 6)) + " FROM orders GROUP BY o_orderdate) q)"
