@@ -14,20 +14,25 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..sources.tables import OBS_EVENTS, obs_events
 
-BY = Window.partitionBy("series_id").orderBy("t")
-WHOLE = Window.partitionBy("series_id")
+
+def by():
+    return Window.partitionBy("series_id").orderBy("t")
+
+
+def whole():
+    return Window.partitionBy("series_id")
 
 
 def difference(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("x0", F.coalesce(F.col("x0") - F.lag("x0").over(BY), F.lit(0.0)))
+    return obs.withColumn("x0", F.coalesce(F.col("x0") - F.lag("x0").over(by()), F.lit(0.0)))
 
 
 def zscore(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("x0", (F.col("x0") - F.avg("x0").over(WHOLE)) / (F.stddev_pop("x0").over(WHOLE) + 1e-9))
+    return obs.withColumn("x0", (F.col("x0") - F.avg("x0").over(whole())) / (F.stddev_pop("x0").over(whole()) + 1e-9))
 
 
 def anomaly_share(obs: DataFrame) -> DataFrame:
-    z = F.abs(F.col("x0") - F.avg("x0").over(WHOLE)) / (F.stddev_pop("x0").over(WHOLE) + 1e-9)
+    z = F.abs(F.col("x0") - F.avg("x0").over(whole())) / (F.stddev_pop("x0").over(whole()) + 1e-9)
     share = obs.withColumn("z", z).groupBy("series_id").agg(F.avg((F.col("z") > 3).cast("double")).alias("share"))
     return share.select("series_id", F.lit("anomaly").alias("type"), F.col("share").alias("value"), F.least(F.lit(1.0), 3 * F.col("share")).alias("confidence"))
 
@@ -108,7 +113,7 @@ def dag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = obs_events(spark, sf_dir)
     errors = [F.avg(F.abs(F.col("x0") - F.col(f"f{w}"))).alias(f"e{w}") for w in range(2, 13)]
     for w in range(2, 13):
-        obs = obs.withColumn(f"f{w}", F.avg("x0").over(BY.rowsBetween(-w, -1)))
+        obs = obs.withColumn(f"f{w}", F.avg("x0").over(by().rowsBetween(-w, -1)))
     g = obs.where("t >= 12").agg(*errors)
     rows = g.select(F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"e{w}").alias("mae")) for w in range(2, 13)])).alias("r")).select("r.*")
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("mae", "window")))  # eleven rows
