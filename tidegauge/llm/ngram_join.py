@@ -125,6 +125,7 @@ def classes_of(docs: DataFrame, rule: Rule) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        common.begin("powers")
         for b in batches:
             for i, j, data, offsets in common.chunks(b.column(1)):
                 _, _, at, key = gram_sets(rule, data, offsets)
@@ -141,6 +142,7 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     """
 
     def packed(batches):
+        common.begin("powers")
         for b in batches:
             for _, _, data, offsets in common.chunks(b.column(0), 4_000_000):
                 ks, cs = [], []
@@ -154,6 +156,7 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
                 yield dealt(k, c, n_parts)
 
     def joined(batches):
+        common.begin("powers")
         out = []
         keys, classes, edges = gathered(batches)
         if len(keys):
@@ -206,6 +209,7 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     """(c): classes of docs of which a share of percent grams at least is in another class too; no other can link."""
 
     def packed(batches):
+        common.begin("powers")
         for b in batches:
             for _, _, data, offsets in common.chunks(b.column(0), 4_000_000):
                 ks, cs = [], []
@@ -215,6 +219,7 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
                 yield dealt(np.concatenate(ks), np.concatenate(cs), n_parts)
 
     def counted(batches):
+        common.begin("powers")
         keys, classes, _ = gathered(batches)
         order = np.lexsort((classes, keys))
         keys, classes = keys[order], classes[order]

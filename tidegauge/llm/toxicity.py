@@ -126,7 +126,10 @@ def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             texts += [t.encode() for t in b.column(1).to_pylist()]
             labels += b.column(2).to_pylist()
+        common.begin()
         model = fit(texts, np.array(labels, int))
+        del texts, labels
+        common.trim()
         yield pa.RecordBatch.from_arrays([pa.array([model["part"].tobytes()], pa.binary()), pa.array([float(model["bias"])])], ["part", "bias"])
 
     # one task trains on the bounded sample, so the driver holds the finished model alone
@@ -147,6 +150,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", toxic_score double"
 
     def run(batches):
+        common.begin("toxicity")
         for b in batches:
             z = np.clip(logits(shared.value, b.column(0)), -500, 500)
             columns = [b.column(k) for k in range(1, b.num_columns)] + ([b.column(0)] if text_col in keep else [])
