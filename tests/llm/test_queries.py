@@ -280,6 +280,18 @@ def test_join_of_dense_families(spark, monkeypatch, k, percent, leaf):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute_components(rows, k, percent))
 
 
+def test_components_in_rounds_and_in_one_task_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-(2**62), 2**62, 400)
+    edges = [(int(ids[i]), int(ids[i + 1])) for i in range(398) if i % 7] + [(int(ids[rng.integers(0, 400)]),) * 2]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r["c"]: r["f"] for r in ngram_join.connected(df).collect()}
+    monkeypatch.setattr(ngram_join, "ONE_TASK_EDGES", 0)
+    rounds = {r["c"]: r["f"] for r in ngram_join.connected(df).collect()}
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert groups(one) == groups(rounds) and len(groups(one)) == 57
+
+
 def test_toxicity(spark, tmp_path):
     import random
 

@@ -85,7 +85,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows with the same id are told apart by their texts, and equal rows give one result row.
     """
     grams, totals = item_shingles(items, item_id, item_text)
-    grams, totals = common.saved(grams, "grams"), common.saved(totals, "totals")
     few = grams.count() <= BROADCAST_SHINGLES
     sized = lambda df: F.broadcast(df) if few else df
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -236,15 +236,50 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
     return rows.repartition(n_parts, "part").mapInArrow(counted, "c bigint, shared bigint").groupBy("c").agg(F.sum("shared").alias("shared"))
 
 
+#: Edges up to which one task joins a graph (16 bytes each, some 100 MB of work); larger graphs go in rounds over all tasks.
+ONE_TASK_EDGES = 1_000_000
+
+
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node connected to each)."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return nodes, nodes[label]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(c, f): every node of edges (a, b) with one label for each component.
 
-    Each node takes its least neighbour as label, edges are drawn anew between labels, and so on while any is left;
-    labels are hashes, so each round leaves a fraction of the edges.
+    A graph of at most ONE_TASK_EDGES edges is one task's work. In a larger one each node takes its least neighbour as
+    label, edges are drawn anew between labels, and so on while any is left; labels are hashes, so each round leaves a
+    fraction of the edges, and the rest goes to one task as soon as it is small.
     """
+
+    def join(batches):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in batches:
+            a.append(x.column(0).to_numpy())
+            b.append(x.column(1).to_numpy())
+        c, f = labelled(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(f)], ["c", "f"])
+
     edges = common.saved(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while True:
+        if edges.count() <= ONE_TASK_EDGES:
+            step = edges.repartition(1).mapInArrow(join, "c bigint, f bigint")
+            if labels is None:
+                return common.saved(step, "labels")
+            return labels.join(step.select(F.col("c").alias("f"), F.col("f").alias("g")), "f", "left").select("c", F.coalesce("g", "f").alias("f"))
         step = edges.select(F.col("a").alias("c"), F.col("b").alias("o")).union(edges.select(F.col("b").alias("c"), F.col("a").alias("o")))
         step = common.saved(step.groupBy("c").agg(F.min("o").alias("m")).select("c", F.least("c", "m").alias("f")), "step")
         if labels is None:
@@ -253,8 +288,6 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = common.saved(labels.join(step.select(F.col("c").alias("f"), F.col("f").alias("g")), "f", "left").select("c", F.coalesce("g", "f").alias("f")), "labels")
         ends = edges.join(step.select(F.col("c").alias("a"), F.col("f").alias("x")), "a").join(step.select(F.col("c").alias("b"), F.col("f").alias("y")), "b")
         edges = common.saved(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if not edges.limit(1).count():
-            return labels
 
 
 class Family:
