@@ -25,6 +25,8 @@ _MODULES: tuple[str, ...] = (
     "tidegauge.operators.evaluation",
     "tidegauge.operators.folds",
     "tidegauge.operators.kernels",
+    "tidegauge.operators.kernels_more",
+    "tidegauge.operators.classifiers",
     "tidegauge.functions.text",
     "tidegauge.plans.beliefs",
     "tidegauge.plans.pipelines",

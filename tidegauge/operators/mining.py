@@ -20,3 +20,11 @@ for _name, _doc in (("prefixspan_pairs", "Subsequences of two symbols, gaps allo
     sql_query(_name, f"WITH {SYMBOLS}{_SEQ}, g AS (SELECT a.series_id, a.t, a.s AS a, b.s AS b, min(b.p) AS p FROM pos a JOIN pos b ON a.series_id = b.series_id AND a.t = b.t AND a.p < b.p GROUP BY a.series_id, a.t, a.s, b.s) SELECT g.series_id, a, b, count(*) AS support FROM g JOIN sup ON g.series_id = sup.series_id GROUP BY g.series_id, a, b HAVING count(*) >= max(least_support)", _doc, layer="pattern")
 sql_query("gsp_triples", f"WITH {SYMBOLS}{_SEQ}, g AS (SELECT DISTINCT a.series_id, a.t, a.s AS a, b.s AS b, c.s AS c FROM pos a JOIN pos b ON a.series_id = b.series_id AND a.t = b.t AND a.p < b.p JOIN pos c ON a.series_id = c.series_id AND a.t = c.t AND b.p < c.p) SELECT g.series_id, a, b, c, count(*) AS support FROM g JOIN sup ON g.series_id = sup.series_id GROUP BY g.series_id, a, b, c HAVING count(*) >= max(least_support)", "Subsequences of three symbols.", layer="pattern")
 sql_query("predicted_next_symbol", f"WITH {SYMBOLS}, l AS (SELECT series_id, max_by(s, t) AS l FROM sym GROUP BY series_id), n AS (SELECT series_id, s, lead(s) OVER (PARTITION BY series_id ORDER BY t) AS f FROM sym), c AS (SELECT n.series_id, n.f, count(*) AS k FROM n JOIN l ON n.series_id = l.series_id AND n.s = l.l WHERE n.f IS NOT NULL GROUP BY n.series_id, n.f) SELECT series_id, min_by(f, -k * 10 + f) AS predicted_next, max(k) AS support FROM c GROUP BY series_id", "The symbol that most often followed the last one; of equal ones the lowest.", layer="pattern")
+for _name, _more, _doc in (
+    ("apriori_patterns", _ITEMS + ", p AS (SELECT series_id, n FROM f1 UNION ALL SELECT a.series_id, count(*) AS n FROM items a JOIN items b ON a.series_id = b.series_id AND a.t = b.t AND a.i < b.i JOIN sup ON a.series_id = sup.series_id GROUP BY a.series_id, a.i, b.i HAVING count(*) >= max(least_support))", "Frequent item sets of one and two: how many and the greatest support."),
+    ("fpgrowth_patterns", _ITEMS + ", p AS (SELECT series_id, n FROM f1)", "Frequent items: how many and the greatest support."),
+    ("prefixspan_patterns", _SEQ + ", p AS (SELECT g.series_id, count(*) AS n FROM (SELECT DISTINCT a.series_id, a.t, a.s AS a, b.s AS b FROM pos a JOIN pos b ON a.series_id = b.series_id AND a.t = b.t AND a.p < b.p) g JOIN sup ON g.series_id = sup.series_id GROUP BY g.series_id, g.a, g.b HAVING count(*) >= max(least_support))", "Frequent subsequences of two: how many and the greatest support."),
+    ("gsp_patterns", _SEQ + ", p AS (SELECT g.series_id, count(*) AS n FROM (SELECT DISTINCT a.series_id, a.t, a.s AS a FROM pos a) g JOIN sup ON g.series_id = sup.series_id GROUP BY g.series_id, g.a HAVING count(*) >= max(least_support))", "Frequent single symbols of windows, the first level of candidates."),
+    ("spade_patterns", _SEQ + ", p AS (SELECT g.series_id, count(*) AS n FROM (SELECT a.series_id, a.t, a.s AS a, b.s AS b, min(b.p) AS p FROM pos a JOIN pos b ON a.series_id = b.series_id AND a.t = b.t AND b.p > a.p GROUP BY a.series_id, a.t, a.s, b.s) g JOIN sup ON g.series_id = sup.series_id GROUP BY g.series_id, g.a, g.b HAVING count(*) >= max(least_support))", "Frequent subsequences of two by id lists: how many and the greatest support."),
+):
+    sql_query(_name, f"WITH {SYMBOLS}{_more} SELECT series_id, count(*) AS n_patterns, max(n) AS support FROM p GROUP BY series_id", _doc, layer="pattern")
