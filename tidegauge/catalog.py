@@ -26,6 +26,7 @@ _MODULES: tuple[str, ...] = (
     "tidegauge.operators.folds",
     "tidegauge.operators.kernels",
     "tidegauge.operators.kernels_more",
+    "tidegauge.operators.nets",
     "tidegauge.operators.classifiers",
     "tidegauge.functions.text",
     "tidegauge.plans.beliefs",
