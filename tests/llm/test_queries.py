@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidegauge.llm import common, decontaminate, fingerprint, html_extract, language_id, mixing, ngram_join, pii, registry, token_pack, toxicity
+from tidegauge.llm import common, decontaminate, fingerprint, html_extract, language_id, line_dedup, mixing, ngram_join, pii, registry, token_pack, toxicity
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -70,6 +70,34 @@ def test_code_lengths_are_those_of_a_plain_tree():
         assert bits[k] == pytest.approx(want, rel=1e-5)
 
 
+def test_lines(spark, tmp_path):
+    from .conftest import write
+
+    block = "one line here\nanother line\na third line"
+    texts = [f"start {i}\n{block}\nend {i}" for i in range(5)] + [None, "", "a\na\na\na\na", block, "\n\n\n\n", "x\n\n\n\ny", f"{block}\nfourth\nfifth", f"q\n{block}\nfourth\nfifth", "two\nlines", "two\nlines"]
+    rows = [[i, t, "en", "s"] for i, t in enumerate(texts)] + [[None, f"null id\n{block}", "en", "s"], [3, texts[3], "en", "s"]]
+    write(tmp_path, rows)
+    want = Counter()
+    seen = {}
+    order = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
+    gone = {}
+    for none, i, t in order:
+        lines = t.split("\n")
+        cover = set()
+        for p in range(len(lines) - 2):
+            w = tuple(lines[p : p + 3])
+            if any(x.strip(" ") for x in w) and seen.setdefault(w, (none, i, p)) != (none, i, p):
+                cover |= {p, p + 1, p + 2}
+        gone[none, i, t] = cover
+    for i, t, _, _ in rows:
+        t = t or ""
+        cover = gone[i is None, i or 0, t]
+        clean = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cover)
+        want[i, len(t.split("\n")), len(cover), len(clean), hashlib.sha256(clean.encode()).hexdigest()] += 1
+    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["n_chars"], r["clean_sha256"]) for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect())
+    assert got == want
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(0)
     for bits in (1, 3, 8, 11, 16, 17, 24, 32):

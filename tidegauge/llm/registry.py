@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_extract, language_id, mixing, ngram_join, pii, token_pack, toxicity
+from . import decontaminate, fingerprint, html_extract, language_id, line_dedup, mixing, ngram_join, pii, token_pack, toxicity
 
-MODULES = [language_id, token_pack, pii, mixing, fingerprint, ngram_join, toxicity, html_extract, decontaminate]
+MODULES = [language_id, line_dedup, token_pack, pii, mixing, fingerprint, ngram_join, toxicity, html_extract, decontaminate]
 
 
 def queries() -> dict:
