@@ -9,7 +9,7 @@ from ..sources.tables import OBS_DAY, OBS_DIFF, OBS_EVENTS
 def detector(name: str, body: str, doc: str, source: str = OBS_EVENTS) -> None:
     """body: a query over obs with columns series_id, t, score, flag (a condition)."""
     sql_query(name, f"WITH {source}, scored AS ({body}) SELECT series_id, t, round(score + 0.0, 6) AS score, CASE WHEN flag THEN 1 ELSE 0 END AS flag FROM scored", doc, layer="noise")
-    sql_query(f"{name}_belief", f"WITH {source}, scored AS ({body}) SELECT series_id, sum(CASE WHEN flag THEN 1 ELSE 0 END) AS n_anomalies, round(avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 6) AS fraction, round(least(1.0, 3 * avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END)), 6) AS confidence FROM scored GROUP BY series_id", doc + " As one belief a series.", layer="noise")
+    sql_query(f"{name}_belief", f"WITH {source}, scored AS ({body}) SELECT series_id, cast(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS bigint) AS n_anomalies, round(avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 6) AS fraction, round(least(1.0, 3 * avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END)), 6) AS confidence FROM scored GROUP BY series_id", doc + " As one belief a series.", layer="noise")
 
 
 detector("zscore_anomaly", "SELECT series_id, t, z AS score, z > 3 AS flag FROM (SELECT series_id, t, abs(x0 - avg(x0) OVER (PARTITION BY series_id)) / (stddev_pop(x0) OVER (PARTITION BY series_id) + 1e-9) AS z FROM obs) q", "More than three deviations from the mean.")

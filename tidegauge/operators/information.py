@@ -39,7 +39,7 @@ measure("recurrence_rate", f""", e AS (SELECT series_id, t, x0 AS a, lead(x0, 1)
 SELECT p.series_id, {r('avg(CASE WHEN sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) < r THEN 1.0 ELSE 0.0 END)', 'recurrence_rate')} FROM e p JOIN e q ON p.series_id = q.series_id AND p.t < q.t JOIN r ON p.series_id = r.series_id WHERE p.c IS NOT NULL AND q.c IS NOT NULL GROUP BY p.series_id""", "Share of pairs of embedded rows nearer than a fifth of a deviation.")
 measure("sample_entropy", f""", e AS (SELECT series_id, t, x0 AS a, lead(x0, 1) OVER w AS b, lead(x0, 2) OVER w AS c FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)), r AS (SELECT series_id, 0.2 * stddev_pop(x0) AS r FROM obs GROUP BY series_id),
 m AS (SELECT p.series_id, sum(CASE WHEN greatest(abs(p.a - q.a), abs(p.b - q.b)) <= r THEN 1 ELSE 0 END) AS b, sum(CASE WHEN greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) <= r THEN 1 ELSE 0 END) AS a FROM e p JOIN e q ON p.series_id = q.series_id AND p.t < q.t JOIN r ON p.series_id = r.series_id WHERE p.c IS NOT NULL AND q.c IS NOT NULL GROUP BY p.series_id)
-SELECT series_id, b AS near_pairs, a AS near_triples, {r('CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END', 'sample_entropy')} FROM m""", "How seldom pairs that stay near for two rows do so for a third.")
+SELECT series_id, cast(b AS bigint) AS near_pairs, cast(a AS bigint) AS near_triples, {r('CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END', 'sample_entropy')} FROM m""", "How seldom pairs that stay near for two rows do so for a third.")
 measure("phase_space_takens", f""", e AS (SELECT series_id, t, x0 AS a, lead(x0, 1) OVER w AS b, lead(x0, 2) OVER w AS c FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)), g AS (SELECT p.series_id, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) AS d FROM e p JOIN e q ON p.series_id = q.series_id AND p.t < q.t WHERE p.c IS NOT NULL AND q.c IS NOT NULL),
 k AS (SELECT series_id, @pct(d, 0.1) AS r1, @pct(d, 0.3) AS r2, @pct(d, 0.5) AS r3, @pct(d, 0.7) AS r4 FROM g GROUP BY series_id), h AS (SELECT g.series_id, avg(CASE WHEN d < r1 THEN 1.0 ELSE 0.0 END) AS c1, avg(CASE WHEN d < r2 THEN 1.0 ELSE 0.0 END) AS c2, avg(CASE WHEN d < r3 THEN 1.0 ELSE 0.0 END) AS c3, avg(CASE WHEN d < r4 THEN 1.0 ELSE 0.0 END) AS c4, max(r1) AS r1, max(r2) AS r2, max(r3) AS r3, max(r4) AS r4 FROM g JOIN k ON g.series_id = k.series_id GROUP BY g.series_id),
 v AS (SELECT series_id, ln(c1) AS y, ln(r1) AS x FROM h UNION ALL SELECT series_id, ln(c2) AS y, ln(r2) AS x FROM h UNION ALL SELECT series_id, ln(c3) AS y, ln(r3) AS x FROM h UNION ALL SELECT series_id, ln(c4) AS y, ln(r4) AS x FROM h) SELECT series_id, {r('regr_slope(y, x)', 'correlation_dimension')} FROM v GROUP BY series_id""", "Correlation dimension: slope of the log share of near pairs at four radii.")
@@ -47,7 +47,7 @@ measure("rough_volatility", f""", k AS (SELECT p.series_id, q.t - p.t AS k, avg(
 measure("hurst_exponent", f""", z AS (SELECT o.series_id, t, x0, z.size, floor(t / z.size) AS chunk, count(*) OVER (PARTITION BY o.series_id) AS n FROM obs o CROSS JOIN (SELECT 8 AS size UNION ALL SELECT 16 AS size UNION ALL SELECT 32 AS size) z), c AS (SELECT *, x0 - avg(x0) OVER (PARTITION BY series_id, size, chunk) AS y, stddev_pop(x0) OVER (PARTITION BY series_id, size, chunk) AS s, count(*) OVER (PARTITION BY series_id, size, chunk) AS m FROM z), w AS (SELECT *, sum(y) OVER (PARTITION BY series_id, size, chunk ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs FROM c WHERE m = size),
 g AS (SELECT series_id, size, chunk, (max(cs) - min(cs)) / max(s) AS rs FROM w WHERE s > 0 GROUP BY series_id, size, chunk), a AS (SELECT series_id, size, avg(rs) AS rs FROM g GROUP BY series_id, size) SELECT series_id, {r('least(1, greatest(0, regr_slope(ln(rs), ln(size))))', 'hurst')} FROM a GROUP BY series_id HAVING count(*) > 1""", "Rescaled range over chunks of 8, 16 and 32 rows.")
 measure("infogeom_distance", f""", g AS (SELECT series_id, floor(t / 15) AS k, avg(x0) AS m, stddev_pop(x0) + 1e-9 AS s, count(*) AS c FROM obs GROUP BY series_id, floor(t / 15)), l AS (SELECT series_id, k, m, s, lag(m) OVER (PARTITION BY series_id ORDER BY k) AS pm, lag(s) OVER (PARTITION BY series_id ORDER BY k) AS ps FROM g WHERE c = 15), f AS (SELECT series_id, sqrt(2) * acosh(1 + ((m - pm) * (m - pm) / 2 + (s - ps) * (s - ps)) / (2 * s * ps)) AS f FROM l WHERE pm IS NOT NULL) SELECT series_id, {r('max(f)', 'max_distance')}, {r('avg(f)', 'mean_distance')} FROM f GROUP BY series_id""", "Fisher-Rao distance between the normal laws of neighbouring windows of 15 rows.")
-measure("hawkes_intensity", f""", m AS (SELECT series_id, avg(abs(dx)) + 2 * stddev_pop(abs(dx)) AS cut FROM d WHERE dx IS NOT NULL GROUP BY series_id), c AS (SELECT d.series_id, floor((t - 1) * 5 / (n - 1)) AS b, sum(CASE WHEN abs(dx) > cut THEN 1 ELSE 0 END) AS k FROM d JOIN m ON d.series_id = m.series_id WHERE dx IS NOT NULL GROUP BY d.series_id, floor((t - 1) * 5 / (n - 1))) SELECT series_id, sum(k) AS n_events, {r('var_pop(k) / (avg(k) + 1e-12)', 'fano')} FROM c GROUP BY series_id""", "Variance over mean of the counts of large steps in fifths of the series.", OBS_DIFF)
+measure("hawkes_intensity", f""", m AS (SELECT series_id, avg(abs(dx)) + 2 * stddev_pop(abs(dx)) AS cut FROM d WHERE dx IS NOT NULL GROUP BY series_id), c AS (SELECT d.series_id, floor((t - 1) * 5 / (n - 1)) AS b, sum(CASE WHEN abs(dx) > cut THEN 1 ELSE 0 END) AS k FROM d JOIN m ON d.series_id = m.series_id WHERE dx IS NOT NULL GROUP BY d.series_id, floor((t - 1) * 5 / (n - 1))) SELECT series_id, cast(sum(k) AS bigint) AS n_events, {r('var_pop(k) / (avg(k) + 1e-12)', 'fano')} FROM c GROUP BY series_id""", "Variance over mean of the counts of large steps in fifths of the series.", OBS_DIFF)
 measure("quadratic_hawkes", f""", v AS (SELECT series_id, t, dx * dx AS v, lag(dx * dx) OVER (PARTITION BY series_id ORDER BY t) AS p FROM d) SELECT series_id, {r('least(1, greatest(0, regr_slope(v, p)))', 'quadratic_feedback')} FROM v WHERE p IS NOT NULL GROUP BY series_id""", "Feedback of squared steps on the next.", OBS_DIFF)
 measure("soc_criticality", f""", q AS (SELECT series_id, @pct(abs(dx), 0.9) AS cut FROM d WHERE dx IS NOT NULL GROUP BY series_id), e AS (SELECT d.series_id, t, abs(dx) - cut AS x, CASE WHEN abs(dx) > cut THEN 1 ELSE 0 END AS on_ FROM d JOIN q ON d.series_id = q.series_id WHERE dx IS NOT NULL), g AS (SELECT *, t - row_number() OVER (PARTITION BY series_id, on_ ORDER BY t) AS run FROM e), a AS (SELECT series_id, run, sum(x) AS size FROM g WHERE on_ = 1 GROUP BY series_id, run) SELECT series_id, count(*) AS n_avalanches, {r('max(size) / median(size)', 'heaviness')}, {r('1 + count(*) / (sum(ln(size)) - count(*) * ln(min(size)) + 1e-12)', 'exponent', 4)} FROM a GROUP BY series_id""", "Runs of steps beyond their 0.9 quantile as avalanches.", OBS_DIFF)
 measure("copula_dependence", f""", k AS (SELECT rank() OVER (ORDER BY x0) + (count(*) OVER (PARTITION BY x0) - 1) / 2.0 AS a, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2.0 AS b FROM obs) SELECT {r('corr(a, b)', 'spearman_rho')} FROM k""", "Rank correlation with mean ranks of ties; one series of days.", OBS_DAY)
@@ -56,7 +56,7 @@ measure("tail_dependence", f""", q AS (SELECT @pct(x0, 0.9) AS a, @pct(x1, 0.9)
 measure("hill_tail_index", f""", k AS (SELECT series_id, ln(abs(dx)) AS l, row_number() OVER (PARTITION BY series_id ORDER BY abs(dx) DESC, t) AS k, n FROM d WHERE dx != 0), m AS (SELECT series_id, avg(CASE WHEN k <= greatest(2, floor(n * 0.1)) THEN l END) - max(CASE WHEN k = greatest(2, floor(n * 0.1)) + 1 THEN l END) AS h FROM k GROUP BY series_id) SELECT series_id, {r('h', 'xi')}, {r('1 / (h + 1e-12)', 'tail_index', 4)} FROM m""", "Hill's index of the largest tenth of the steps.", OBS_DIFF)
 measure("evt_tail_risk", f""", q AS (SELECT series_id, @pct(abs(dx), 0.9) AS u FROM d WHERE dx IS NOT NULL GROUP BY series_id), e AS (SELECT d.series_id, max(u) AS u, avg(abs(dx) - u) AS m, var_pop(abs(dx) - u) AS v, count(*) AS k FROM d JOIN q ON d.series_id = q.series_id WHERE abs(dx) > u GROUP BY d.series_id HAVING count(*) > 2), x AS (SELECT *, least(0.49, greatest(-0.5, 0.5 * (1 - m * m / v))) AS xi, 0.5 * m * (m * m / v + 1) AS beta FROM e) SELECT series_id, k AS n_exceedances, {r('u', 'threshold')}, {r('xi', 'xi')}, {r('beta', 'beta')} FROM x""", "Generalised Pareto law of steps beyond their 0.9 quantile, by moments.", OBS_DIFF)
 measure("vpin", f""", f AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE 0 END AS buy FROM events), c AS (SELECT series_id, value, buy, sum(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(value) OVER (PARTITION BY series_id) AS total FROM f), b AS (SELECT series_id, least(10, ceil(cum / total * 10)) AS b, abs(2 * sum(buy) - sum(value)) / sum(value) AS i FROM c GROUP BY series_id, least(10, ceil(cum / total * 10))) SELECT series_id, count(*) AS n_buckets, {r('avg(i)', 'mean_vpin')} FROM b GROUP BY series_id""", "Imbalance of buys over ten buckets of equal volume.")
-measure("percolation_risk", ", c AS (" + " UNION ALL ".join(f"SELECT abs(corr(a{i}, a{j})) AS c FROM panel" for i in range(1, 6) for j in range(i + 1, 6)) + f"), k AS (SELECT @rows(1, 9)) AS k), g AS (SELECT k / 10.0 AS cut FROM k) SELECT round(cut, 2) AS threshold, count_if(c > cut) AS edges, {r('count_if(c > cut) / 10', 'density')} FROM c CROSS JOIN g GROUP BY cut", "Edges of the correlation graph of five assets by threshold.", PANEL)
+measure("percolation_risk", ", c AS (" + " UNION ALL ".join(f"SELECT abs(corr(a{i}, a{j})) AS c FROM panel" for i in range(1, 6) for j in range(i + 1, 6)) + f"), k AS (SELECT @rows(1, 9)) AS k), g AS (SELECT k / 10.0 AS cut FROM k) SELECT round(cut, 2) AS threshold, cast(count_if(c > cut) AS bigint) AS edges, {r('count_if(c > cut) / 10', 'density')} FROM c CROSS JOIN g GROUP BY cut", "Edges of the correlation graph of five assets by threshold.", PANEL)
 measure("semi_markov", codes(4) + f", g AS (SELECT series_id, t, s, t - row_number() OVER (PARTITION BY series_id, s ORDER BY t) AS run FROM s), u AS (SELECT series_id, s, run, count(*) AS len FROM g GROUP BY series_id, s, run) SELECT series_id, s AS state, count(*) AS runs, {r('avg(len)', 'expected_duration')} FROM u GROUP BY series_id, s", "Runs and mean dwell of four quantile states.")
 measure("higher_order_markov", codes(4) + f" SELECT series_id, q2, q, s AS next, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY series_id, q2, q)', 'p')} FROM p WHERE q2 IS NOT NULL GROUP BY series_id, q2, q, s", "Transition table of order 2 on four quantile states.")
 measure("markov_chain", codes(3) + f", g AS (SELECT series_id, q, s, count(*) AS n FROM p WHERE q IS NOT NULL GROUP BY series_id, q, s) SELECT series_id, q AS state, s AS next, {r('(n + 1) / (sum(n) OVER (PARTITION BY series_id, q) + 3)', 'p')} FROM g", "Transitions seen between three quantile states, with one count added.")

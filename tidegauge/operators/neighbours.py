@@ -16,7 +16,7 @@ c AS (SELECT a.series_id, a.t, max(a.z) AS z FROM s a JOIN s b ON a.series_id =
 g AS (SELECT series_id, t, z, CASE WHEN z - lag(z) OVER (PARTITION BY series_id ORDER BY z, t) <= 0.8 THEN 0 ELSE 1 END AS new FROM c),
 k AS (SELECT series_id, t, z, sum(new) OVER (PARTITION BY series_id ORDER BY z, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS label FROM g),
 r AS (SELECT s.series_id, s.t, coalesce(min(k.label), -1) AS label FROM s LEFT JOIN k ON s.series_id = k.series_id AND abs(s.z - k.z) <= 0.8 GROUP BY s.series_id, s.t)
-SELECT series_id, t, label FROM r""", "Density clusters of one column: core rows chain along the sorted values, so components need no iteration; -1 is noise.", layer="pattern")
+SELECT series_id, t, cast(label AS bigint) AS label FROM r""", "Density clusters of one column: core rows chain along the sorted values, so components need no iteration; -1 is noise.", layer="pattern")
 
 sql_query("hopfield_denoise", f"""WITH {OBS_EVENTS}, s AS (SELECT series_id, t, x0, (x0 - avg(x0) OVER (PARTITION BY series_id)) / (stddev_pop(x0) OVER (PARTITION BY series_id) + 1e-9) AS z FROM obs)
 SELECT a.series_id, a.t, round(sum(exp(2 * a.z * b.z - 2 * abs(a.z) * 10) * b.x0) / sum(exp(2 * a.z * b.z - 2 * abs(a.z) * 10)) + 0.0, 6) AS y FROM s a JOIN s b ON a.series_id = b.series_id GROUP BY a.series_id, a.t""", "Softmax recall of the series' own rows, sharpness 2.", layer="noise", transformer=True)

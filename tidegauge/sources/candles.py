@@ -8,8 +8,8 @@ CANDLES = """trades AS (SELECT l_shipdate AS day, l_orderkey, l_linenumber, cast
 candles AS (SELECT day, min_by(p, l_orderkey * 10 + l_linenumber) AS open, max(p) AS high, min(p) AS low, max_by(p, l_orderkey * 10 + l_linenumber) AS close, sum(q) AS volume FROM trades GROUP BY day)"""
 
 sql_query("candles_day", f"WITH {CANDLES} SELECT day, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, round(volume, 2) AS volume FROM candles", "Candles by day, trades in order of their keys.", layer="adapter")
-sql_query("candle_checks", f"WITH {CANDLES} SELECT count(*) AS n, count_if(open <= 0 OR close <= 0) AS bad_price, count_if(volume < 0) AS bad_volume, count_if(high < greatest(open, close) OR low > least(open, close)) AS bad_range FROM candles", "Candles that break the rules of a candle.", layer="adapter")
+sql_query("candle_checks", f"WITH {CANDLES} SELECT count(*) AS n, cast(count_if(open <= 0 OR close <= 0) AS bigint) AS bad_price, cast(count_if(volume < 0) AS bigint) AS bad_volume, cast(count_if(high < greatest(open, close) OR low > least(open, close)) AS bigint) AS bad_range FROM candles", "Candles that break the rules of a candle.", layer="adapter")
 sql_query("candle_features", f"WITH {CANDLES}, f AS (SELECT day, ln(close / lag(close) OVER (ORDER BY day)) AS log_return, (high - low) / close AS hl_range, ln(1 + volume) AS log_volume, ln(1 + volume) - lag(ln(1 + volume)) OVER (ORDER BY day) AS log_volume_change, close FROM candles) SELECT day, round(log_return, 6) AS log_return, round(hl_range, 6) AS hl_range, round(log_volume, 6) AS log_volume, round(log_volume_change, 6) AS log_volume_change FROM f WHERE log_return IS NOT NULL", "Feature columns of candles without the first day; the calendar bounds the rows.", layer="adapter")
 sql_query("frac_diff_weights", "WITH RECURSIVE w(k, w) AS (SELECT 0, cast(1 AS double) UNION ALL SELECT k + 1, -w * (0.4 - k) / (k + 1) FROM w WHERE k < 60) SELECT k, round(w, 9) AS w FROM w", "Weights of fractional differencing of order 0.4.", layer="adapter")
 sql_query("frac_diff", "WITH obs AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x0 FROM events), s AS (SELECT series_id, t, x0 AS x, lag(x0, 1) OVER v AS x1, lag(x0, 2) OVER v AS x2, lag(x0, 3) OVER v AS x3, lag(x0, 4) OVER v AS x4 FROM obs WINDOW v AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, t, round(x - 0.4 * x1 - 0.12 * x2 - 0.064 * x3 - 0.0416 * x4 + 0.0, 6) AS y FROM s WHERE x4 IS NOT NULL", "Fractional differencing of order 0.4 over five rows; rows before the window is full are left out.", layer="adapter")
-sql_query("crypto_sweep", f"WITH {CANDLES}, m AS (SELECT date_trunc('month', day) AS month, avg(close) AS c, stddev_samp(close) AS s, count(*) AS n FROM candles GROUP BY date_trunc('month', day)) SELECT count(*) AS months, count_if(s > 0) AS moving, round(median(s / c), 6) AS median_ratio FROM m", "Medians and counts over months.", layer="adapter")
+sql_query("crypto_sweep", f"WITH {CANDLES}, m AS (SELECT date_trunc('month', day) AS month, avg(close) AS c, stddev_samp(close) AS s, count(*) AS n FROM candles GROUP BY date_trunc('month', day)) SELECT count(*) AS months, cast(count_if(s > 0) AS bigint) AS moving, round(median(s / c), 6) AS median_ratio FROM m", "Medians and counts over months.", layer="adapter")
