@@ -76,6 +76,6 @@ k AS (SELECT doc_id, text, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY
 g AS (SELECT DISTINCT doc_id, text, pos + i AS line FROM k CROSS JOIN (VALUES (0), (1), (2)) v(i) WHERE k.k > 1),
 x AS (SELECT doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n FROM d),
 r AS (SELECT x.doc_id, x.n, x.pos, x.line, g.line IS NOT NULL AS gone FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.text = g.text AND x.pos = g.line),
-t AS (SELECT doc_id, max(n) AS n_lines, count_if(gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM r GROUP BY doc_id)
+t AS (SELECT doc_id, max(n) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM r GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(clean) AS n_chars, sha256(clean) AS clean_sha256 FROM t"""
 }
