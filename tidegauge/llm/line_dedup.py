@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LINES = 3
+#: Covered documents and lines up to which they are broadcast (some 100 bytes and 4 bytes each); more are shuffled.
+BROADCAST_DOCUMENTS, BROADCAST_LINES = 300_000, 4_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -54,6 +56,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cover = common.saved(later_windows(docs), "covered").withColumnsRenamed({"id": "id_", "digest": "digest_"})
+    size = cover.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("covered")), F.lit(0)).alias("lines")).first()
+    if size["n"] <= BROADCAST_DOCUMENTS and size["lines"] <= BROADCAST_LINES:
+        cover = F.broadcast(cover)
     rows = docs.join(cover, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("digest_")), "left")
     rows = rows.withColumn("l", lines_of(F.col("text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("covered"))
