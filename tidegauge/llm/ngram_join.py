@@ -58,6 +58,16 @@ class Rule:
         return 100 * inter >= self.percent * (n + m - inter)
 
 
+def tidy(run):
+    """run, and then the task's freed memory goes back to the system; an idle worker would keep it."""
+
+    def to_the_end(batches):
+        yield from run(batches)
+        common.trim()
+
+    return to_the_end
+
+
 def gram_sets(rule: Rule, data: np.ndarray, offsets: np.ndarray):
     """(distinct grams sorted, document of each, offsets, class key) of documents; the key of an empty set is 0."""
     n = len(offsets) - 1
@@ -131,7 +141,7 @@ def classes_of(docs: DataFrame, rule: Rule) -> DataFrame:
                 _, _, at, key = gram_sets(rule, data, offsets)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(key)], ["id", "n", "c"])
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, c bigint")
+    return docs.mapInArrow(tidy(run), f"id {kind}, n bigint, c bigint")
 
 
 def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
@@ -168,8 +178,8 @@ def candidate_edges(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
                 part = np.ascontiguousarray(edges[i : i + (1 << 16)].T)
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], ["a", "b"])
 
-    rows = docs.select("text").mapInArrow(packed, "part bigint, a binary, b binary")
-    return rows.repartition(n_parts, "part").mapInArrow(joined, "a bigint, b bigint").distinct()
+    rows = docs.select("text").mapInArrow(tidy(packed), "part bigint, a binary, b binary")
+    return rows.repartition(n_parts, "part").mapInArrow(tidy(joined), "a bigint, b bigint").distinct()
 
 
 def pieces(rule: Rule, data: np.ndarray, offsets: np.ndarray, limit: int = 1_000_000):
@@ -229,11 +239,27 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         c, n = np.unique(classes[same[1:] | same[:-1]], return_counts=True)
+        # a class has grams in many parts, so its counts go on packed, a row for each pair of tasks
+        part = (c.view(U) % U(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        c, n = c[order], n[order].astype(np.int64)
+        cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+        full = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "a", "b"])
+
+    def added(batches):
+        ns, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            for x, y in zip(b.column(1), b.column(2), strict=True):
+                ns.append(np.frombuffer(x.as_buffer(), np.int64).copy())
+                cs.append(np.frombuffer(y.as_buffer(), np.int64).copy())
+        c, at = np.unique(np.concatenate(cs), return_inverse=True)
         if len(c):
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.bincount(at, np.concatenate(ns)).astype(np.int64))], ["c", "shared"])
 
-    rows = docs.select("text").mapInArrow(packed, "part bigint, a binary, b binary")
-    return rows.repartition(n_parts, "part").mapInArrow(counted, "c bigint, shared bigint").groupBy("c").agg(F.sum("shared").alias("shared"))
+    kind = "part bigint, a binary, b binary"
+    counts = docs.select("text").mapInArrow(tidy(packed), kind).repartition(n_parts, "part").mapInArrow(tidy(counted), kind)
+    return counts.repartition(n_parts, "part").mapInArrow(tidy(added), "c bigint, shared bigint")
 
 
 #: Edges up to which one task joins a graph (16 bytes each, some 100 MB of work); larger graphs go in rounds over all tasks.
@@ -276,7 +302,7 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         if edges.count() <= ONE_TASK_EDGES:
-            step = edges.repartition(1).mapInArrow(join, "c bigint, f bigint")
+            step = edges.repartition(1).mapInArrow(tidy(join), "c bigint, f bigint")
             if labels is None:
                 return common.saved(step, "labels")
             return labels.join(step.select(F.col("c").alias("f"), F.col("f").alias("g")), "f", "left").select("c", F.coalesce("g", "f").alias("f"))
@@ -441,7 +467,7 @@ def solved(sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
         if done[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in done], ["c", "f"])
 
-    return sets.select("g", "c", "grams").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(run, "c bigint, f bigint")
+    return sets.select("g", "c", "grams").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(tidy(run), "c bigint, f bigint")
 
 
 def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -464,7 +490,7 @@ def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
                 u.append(len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(i, pa.int64()), pa.array(u, pa.int64())], ["g", "c", "p", "i", "u"])
 
-    near = common.saved(rows.join(pivots, "g").select("g", "c", "p", "grams", "own").mapInArrow(measure, "g bigint, c bigint, p bigint, i bigint, u bigint"), "pivots")
+    near = common.saved(rows.join(pivots, "g").select("g", "c", "p", "grams", "own").mapInArrow(tidy(measure), "g bigint, c bigint, p bigint, i bigint, u bigint"), "pivots")
     edges = near.where(F.col("i") * 100 >= F.col("u") * percent).where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b"))
     d = 1 - F.col("i") / F.greatest("u", F.lit(1))
     least = near.groupBy("g", "c").agg(F.min(d).alias("least"))
@@ -518,7 +544,7 @@ def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
                 grams, _, at, key = gram_sets(rule, data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([grams[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["c", "grams"])
 
-    rows = texts.mapInArrow(run, "c bigint, grams binary").join(families, "c").select(F.col("f").alias("g"), "c", "grams")
+    rows = texts.mapInArrow(tidy(run), "c bigint, grams binary").join(families, "c").select(F.col("f").alias("g"), "c", "grams")
     rows = common.saved(rows, "families")
     found = []
     whole = True

@@ -155,6 +155,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             z = np.clip(logits(shared.value, b.column(0)), -500, 500)
             columns = [b.column(k) for k in range(1, b.num_columns)] + ([b.column(0)] if text_col in keep else [])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-z)))], names)
+        common.trim()
 
     return read.mapInArrow(run, schema)
 
