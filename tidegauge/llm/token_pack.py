@@ -27,6 +27,8 @@ from . import common
 BLOCK_IDS = 1 << 16
 #: Encoded pieces of text that a worker remembers at once.
 REMEMBERED = 1_600_000
+#: The same in the pipeline, where executors have run other stages before and hold more memory.
+STAGE_REMEMBERED = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -74,7 +76,8 @@ class Encoder:
     vocabulary go through the library whole. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -122,7 +125,7 @@ class Encoder:
         if not self.falls_apart:
             return self.whole(texts)
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         get = known.get
         split, values, gaps, new, tails = [], [], [], {}, []
@@ -166,11 +169,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    return common.per_worker(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return common.per_worker(("encoder", path, remembered), lambda: Encoder(path, remembered))
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", order: list | None = None) -> int:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", order: list | None = None, remembered: int = REMEMBERED) -> int:
     """Writes docs' ids below path, in ascending order of id (null first; equal ids by text), and a manifest. Returns the bits of an id.
 
     order: other columns to sort by instead. A null text is an empty one; end_id is appended to each document.
@@ -197,7 +200,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, i
             id_type = b.schema.field(0).type
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                for key, encoded in zip(part.column(0).to_pylist(), encoder(vocabulary)([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for key, encoded in zip(part.column(0).to_pylist(), encoder(vocabulary, remembered)([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     encoded += end
                     parts.append(encoded)
                     ids.append(key)
@@ -265,7 +268,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = [F.col("file"), F.col("row")]
     except AnalysisException:
         rows, order = docs.select("doc_id", "text"), None
-    write(rows, path, common.default_vocabulary(), order=order)
+    write(rows, path, common.default_vocabulary(), order=order, remembered=STAGE_REMEMBERED)
     return read(spark, path)
 
 
