@@ -308,6 +308,28 @@ def test_join_of_dense_families(spark, monkeypatch, k, percent, leaf):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute_components(rows, k, percent))
 
 
+def test_join_stage_keeps_one_row_of_each_group(spark, edge, documents):
+    long = " ".join(f"w{i}" for i in range(60))
+    more = [[None, long, "en", "s"], [None, "another row without an id, of no group at all", "en", "s"], [7000, long + " more", "en", "s"], [7000, long + " end", "en", "s"], [7001, long, "en", "s"], [7002, "two texts of one id, the first one", "en", "s"], [7002, "and a second that is quite another", "en", "s"], [None, "null ids that repeat are one group", "en", "s"], [None, "null ids that repeat are one group", "en", "s"], [None, None, "en", "s"]]
+    rows = [(r[0], r[1]) for r in documents + more]
+    docs = common.table(spark, edge, "documents").select("doc_id", "text", "row", "c").union(spark.createDataFrame([(r[0], r[1], "row", "c") for r in more], "doc_id long, text string, row string, c string"))
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.stage(spark, docs, edge).collect())
+    sets = [grams(t, 5) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    assert sum(got.values()) == len(set(group))
+    for g in set(group):
+        members = [r for r, x in zip(rows, group) if x == g]
+        least = min((i is None, i or 0) for i, _ in members)
+        best = {r for r in members if (r[0] is None, r[0] or 0) == least}
+        assert any(got[r] for r in best), members[0]
+        assert len([r for r in set(members) if got[r]]) == 1
+
+
 def test_components_in_rounds_and_in_one_task_agree(spark, monkeypatch):
     rng = np.random.default_rng(4)
     ids = rng.integers(-(2**62), 2**62, 400)

@@ -605,10 +605,27 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Groups are of five-word shingles at 0.8."""
-    groups = components(docs, k=5, percent=80)
-    keep = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group: that of the smallest (id, text digest), null ids last. Groups are of five-word shingles at 0.8.
+
+    Of rows with the same id and text one stays. Rows without words (or with null text) are in no group, and all stay.
+    """
+    rule = Rule(5, 80)
+    digest = F.xxhash64("text")
+    texts = docs.select(F.struct(F.col("doc_id").alias("i"), digest.alias("d")).alias("id"), F.col("text").alias("text"))
+    classes = common.saved(classes_of(texts, rule), "classes")
+    roots = links(texts, rule, classes)
+    rows = classes.where("n > 0").groupBy("c", "id").agg(F.count("*").alias("copies"))
+    least = rows.groupBy("c").agg(F.min(F.struct(F.col("id.i").isNull().alias("none"), F.col("id.i").alias("i"), F.col("id.d").alias("d"), "copies")).alias("x"))
+    least = least.join(roots, "c", "left").groupBy(F.coalesce("f", "c").alias("f")).agg(F.min("x").alias("x"))
+    keep = least.select(F.col("x.i").alias("_i"), F.col("x.d").alias("_d"), F.col("x.copies").alias("_n"))
+    keep = common.saved(keep.union(classes.where("n = 0").select("id.i", "id.d", F.lit(1).cast("long")).distinct()), "keep")
+    same = [F.col("doc_id").eqNullSafe(F.col("_i")), digest == F.col("_d")]
+    once = docs.join(keep.where("_n = 1"), same, "left_semi").select(*docs.columns)
+    repeated = keep.where("_n > 1")
+    if repeated.isEmpty():
+        return once
+    first = docs.join(repeated, same, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
+    return once.union(first.select(*docs.columns))
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
