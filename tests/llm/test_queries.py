@@ -195,6 +195,21 @@ def test_pii_terms_disclose(spark):
     assert "zed@" not in clean and "zorblatt" not in clean and "[EMAIL]" in clean
 
 
+def test_pii_terms_disclose_at_any_distance_and_in_every_document(spark):
+    texts = [f"nothing special here number {i}" for i in range(2000)]
+    far = " and so on with many plain words" * 10
+    for i in (3, 40):
+        texts[i] = f"İ Zorblatt opens{far} mail zed@corp.example.com"  # never within 64 characters
+    texts[77] = f"only the name{far} zorblatt stands here"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # 3 documents have the term, 2 of them the entity: 1 - log2(3 / 2) / log2(2000 / 2) is 0.94
+    rows = {r["doc_id"]: {(s["start"], s["end"]) for s in r["all_spans"]} for r in pii.find(docs).collect()}
+    for i in (3, 40, 77):
+        at = texts[i].lower().replace("i̇", "İ").index("zorblatt")
+        assert (at, at + 8) in rows[i]
+    assert not rows[5]
+
+
 def test_mixing(spark, edge, documents):
     got = mixing.op5_mixing(spark, edge).collect()
     again = mixing.op5_mixing(spark, edge).collect()

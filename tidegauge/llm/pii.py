@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions alone.
 
 Direct identifiers (email, ip, card, phone) are found by patterns. They are the
-protected entities. A term near a mention of an entity e discloses it as far as
+protected entities. A term discloses an entity e that stands in the same documents as far as
 the two share information: PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))) out of
 the entity's own information IC(e) = log2(N / df(e)), with document counts over
 the whole corpus. Terms with PMI / IC of at least DISCLOSURE, seen with the
@@ -28,10 +28,12 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-WINDOW, SUPPORT, DISCLOSURE = 64, 2, 0.9
+SUPPORT, DISCLOSURE = 2, 0.9
 #: Terms to be counted are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 BLOCK = 64
+#: A noncharacter that stands for identifiers while terms are counted.
+BLANK = "\uffff"
 
 
 def _possible(text: Column, kind: str) -> Column:
@@ -49,7 +51,7 @@ def _valid(m: Column, kind: str) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def located(df: DataFrame, text: str, patterns: dict[str, tuple[str, object, object]], window: int = 0) -> DataFrame:
+def located(df: DataFrame, text: str, patterns: dict[str, tuple[str, object, object]]) -> DataFrame:
     """Adds an array column for each name in patterns (pattern, whether text can match, which matches count).
 
     Entries are structs (start, end, value), in code points, end exclusive. Positions come from the lengths of matches
@@ -109,43 +111,74 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _entity(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", "")))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text without identifiers and without terms that overlap one."""
+    plain = F.translate(text, BLANK, " ")
+    done = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.when(s["start"] > a["at"], F.substring(plain, a["at"] + 1, s["start"] - a["at"])).otherwise(""), F.lit(BLANK)).alias("out")),
+    )
+    return F.regexp_replace(F.concat(done["out"], F.substring(plain, done["at"] + 1, F.length(text))), rf"\p{{L}}*+{BLANK}\p{{L}}*+", " ")
+
+
+def _held(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(key, keep, term): each term of each text once, in lower case."""
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda x: F.lower(x)))
+    return rows.select("key", *keep, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())  # plain explode() would infer a filter and compute all terms once more
+
+
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """One row per row of docs: id, spans (direct identifiers), all_spans (with disclosing terms, kind `term`).
 
-    Terms count in documents that mention an entity, within WINDOW characters of it. Ids may be null or repeat.
+    A term and an entity are seen together in every document that has both, however far apart. A disclosing term is a
+    span wherever it stands, in documents without the entity too, except inside identifiers. Ids may be null or repeat.
     """
-    spark = docs.sparkSession
-    around = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))).alias("entity"), F.greatest(F.lit(0), s["start"] - WINDOW).alias("at"), F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] - WINDOW + 1), s["end"] + WINDOW - F.greatest(F.lit(0), s["start"] - WINDOW)).alias("near"), ((s["end"] + WINDOW) >= F.col("n")).alias("last")))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = base_spans(texts).withColumn("n", F.when(F.size("spans") > 0, F.length("text"))).select(F.monotonically_increasing_id().alias("row"), "id", "spans", F.when(F.size("spans") > 0, around).alias("mentions"))
+    # rows of one key have the same text, and so the same terms
+    texts = texts.withColumn("key", F.unhex(F.md5(F.concat(F.md5(F.col("text").cast("binary")), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))))
+    rows = base_spans(texts).select("key", "id", "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities"))
     rows = common.saved(rows, "pii")
-    mentions = rows.where("size(spans) > 0").select("row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"), F.explode("mentions").alias("m"))
-    mentions = mentions.select("row", "taken", "m.entity", "m.at", "m.last", F.lower("m.near").alias("near"))
-    mentions = located(mentions, "near", {"terms": (TERM, lambda t: F.lit(True), lambda m: F.lit(True))})
-    terms = mentions.withColumn("width", F.length("near")).select("row", "entity", "taken", "at", "last", "width", F.explode_outer("terms").alias("x"))  # plain explode() would infer a filter and compute all terms once more for each
-    terms = terms.where(((F.col("x.start") > 0) | (F.col("at") == 0)) & ((F.col("x.end") < F.col("width")) | F.col("last")))
-    terms = terms.select("row", "entity", F.col("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"), "taken")
-    terms = terms.where(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("taken")
-    terms = common.saved(terms, "terms")
-    pairs = terms.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = common.saved(pairs, "pairs")
+    alone = rows.select(F.col("id").alias(id_col), "spans", F.col("spans").alias("all_spans"))
     n = rows.count()
-    words = pairs.select("term").distinct()
-    n_words = words.count()
-    counted = words.limit(0).select("term", F.lit(0).cast("long").alias("df_t"))
-    if n_words:
-        own = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        counted = own.join(F.broadcast(words) if n_words <= BROADCAST_TERMS else words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    entities = rows.where("size(spans) > 0").select("row", F.explode("mentions.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    scored = pairs.join(counted, "term").join(entities, "entity")
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("df_e"))
-    # log2 of lower() can fold a term otherwise than lower() of the whole text; its count is then at least that of the pair
-    own_share = 1 - F.log2(F.greatest("df_t", "both") / F.col("both")) / ic
-    flagged = scored.where((ic > 0) & (own_share >= disclosure)).select("entity", "term")
-    extra = terms.join(flagged, ["entity", "term"]).select("row", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), "end", F.lit("").alias("value"))).alias("extra"))
-    rows = rows.select("row", "id", "spans").join(extra, "row", "left")
-    both = F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra")))
-    return rows.select(F.col("id").alias(id_col), "spans", both.alias("all_spans"))
+    mentions = rows.where("size(entities) > 0").select("key", F.explode("entities").alias("entity"))
+    # PMI / IC >= disclosure needs df_t <= both * (n / df_e) ^ (1 - disclosure), and both is at most df_e: terms in more documents are left out without loss
+    most = F.col("df_e") * F.pow(F.lit(float(n)) / F.col("df_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n)).withColumn("most", most)
+    entities = common.saved(entities, "entities")
+    greatest = entities.agg(F.max("most")).first()[0]
+    if greatest is None:
+        return alone
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    counted = _held(texts, F.col("text")).groupBy("term").agg(F.count("*").alias("df_t")).where((F.col("df_t") >= support) & (F.col("df_t") <= greatest))
+    counted = few(common.saved(counted, "counted"))
+    reached = mentions.join(entities, "entity")
+    rest = base_spans(texts).select("key", F.when(F.size("spans") > 0, _blanked(F.col("text"), F.col("spans"))).alias("rest"))  # found again: writing texts takes much memory
+    seen = _held(rest, F.col("rest")).join(counted, "term").select("key", "term", "df_t").distinct()
+    pairs = seen.join(reached, "key").where(F.col("df_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "df_e", "df_t").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    ic = F.log2(F.lit(float(n)) / F.col("df_e"))
+    own_share = 1 - F.log2(F.col("df_t") / F.col("both")) / ic
+    flagged = common.saved(pairs.where(own_share >= disclosure).select("term").distinct(), "flagged")
+    if flagged.isEmpty():
+        return alone
+    wanted = few(flagged)
+    if wanted is flagged:
+        holders = _held(texts, F.col("text")).join(wanted, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("held"))
+        hits = texts.select("key", "text").join(common.saved(holders, "holders"), "key")
+    else:  # places are found where the texts are read, one term at a time, so that no text is shuffled
+        hits = _held(texts, F.col("text"), "text").join(wanted, "term", "left_semi").withColumn("held", F.array("term"))
+    hits = located(hits, "text", {"terms": (TERM, lambda t: F.lit(True), lambda m: F.array_contains("held", F.lower(m)))})
+    hits = hits.select("key", F.explode_outer("terms").alias("x")).select("key", "x.start", "x.end").where(F.col("start") >= 0)
+    extra = common.saved(hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("terms")), "terms")
+    outside = F.filter("terms", lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    outside = F.transform(outside, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), F.lit("term").alias("kind"), x["end"].alias("end"), F.lit("").alias("value")))
+    both = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", outside)))
+    return rows.select("key", "id", "spans").join(extra, "key", "left").select(F.col("id").alias(id_col), "spans", both.alias("all_spans"))
 
 
 def sanitise(text: Column, spans: Column) -> Column:
