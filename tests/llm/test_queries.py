@@ -404,6 +404,15 @@ def test_furniture_is_left_out():
     assert html_extract.extract("<article>a&nbsp;b <i>c</i><script>no</script><br>d</article>") == "a b c\nd"
 
 
+def test_the_ratio_decides_beside_an_article_too():
+    body = ["A long paragraph of the real text of this page, which goes on for quite a while and says a lot. " * 3 for _ in range(6)]
+    teaser = "<article>" + "".join(f"<p><a href=x><b>{w}</b></a> <i>y</i>" for w in "abcdefgh") + "</article>"
+    page = f"<body><div>{''.join(f'<p>{b}</p>' for b in body)}</div>{teaser}</body>"
+    assert html_extract.extract(page) == "\n".join(" ".join(b.split()) for b in body)
+    page = f"<body><article><h1>T</h1>{''.join(f'<p>{b}</p>' for b in body)}</article></body>"
+    assert html_extract.extract(page) == "\n".join(["T", *(" ".join(b.split()) for b in body)])
+
+
 def tokens(text):
     return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
 

@@ -3,9 +3,11 @@
 Parser events become lines (blocks), each with its text and the number of tags
 that fell in it. Blocks in page furniture (menus, headers of the page, footers,
 sidebars, notices, adverts, forms, reader comments) are told from the element
-and its class, id or role. For the rest the method is the text-to-tag ratio of
-each line, smoothed with a Gaussian and split in two clusters by a threshold;
-an explicit article or main element settles the question where a page has one.
+and its class, id or role. For the rest, on every page, the method is the
+text-to-tag ratio of each line, smoothed with a Gaussian and split in two
+clusters by a threshold. Article and main elements are borders of regions: one
+with more than half of its characters in lines of content is content as a
+whole, any other is left out.
 """
 
 from __future__ import annotations
@@ -34,15 +36,15 @@ MARKED_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|recomm
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page in order: [text parts, tags in it, furniture, in the main element]."""
+    """Blocks of a page in order: [text, tags in it, furniture, number of the outermost article or main element around it, from 1, or 0]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # element, silent, furniture, main
+        self.open: list[tuple[str, bool, bool, int]] = []  # element, silent, furniture, main
         self.blocks: list[list] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.silent = self.furniture = self.main = self.preformatted = False
+        self.tags = self.mains = self.main = 0
+        self.silent = self.furniture = self.preformatted = False
 
     def flush(self):
         if self.parts:
@@ -53,7 +55,7 @@ class Blocks(HTMLParser):
             self.parts = []
 
     def _state(self):
-        _, self.silent, self.furniture, self.main = self.open[-1] if self.open else ("", False, False, False)
+        _, self.silent, self.furniture, self.main = self.open[-1] if self.open else ("", False, False, 0)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -75,7 +77,11 @@ class Blocks(HTMLParser):
                 for k, v in attrs:
                     if k == "hidden" or (k == "aria-hidden" and v == "true") or (k in ("class", "id", "role") and v and (MARKED_MAIN if tag in MAIN else MARKED).search(v)) or (k == "style" and v and "display:none" in v.replace(" ", "")):
                         furniture = True
-        self.open.append((tag, self.silent or tag in SILENT, furniture, self.main or tag in MAIN or ("role", "main") in attrs))
+        main = self.main
+        if not main and (tag in MAIN or ("role", "main") in attrs):
+            self.mains += 1
+            main = self.mains
+        self.open.append((tag, self.silent or tag in SILENT, furniture, main))
         self._state()
 
     def handle_startendtag(self, tag, attrs):
@@ -146,16 +152,21 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.flush()
     blocks = [b for b in parser.blocks if not b[2]]
-    if any(b[3] for b in blocks):
-        return "\n".join(b[0] for b in blocks if b[3])
     if not blocks:
         return ""
     ratio = np.array([len(b[0]) / (1 + b[1]) for b in blocks], float)
     level = smoothed(ratio)
     cut = threshold(np.log1p(level))
     keep = (np.log1p(level) > cut) | (ratio > np.expm1(cut) if np.isfinite(cut) else True)
-    first, last = (np.flatnonzero(keep)[[0, -1]] if keep.any() else (0, -1))
-    return "\n".join(b[0] for b in blocks[first : last + 1])  # a region: short lines between content lines belong to it
+    main = np.array([b[3] for b in blocks])
+    chars = np.array([len(b[0]) for b in blocks])
+    kept, total = np.bincount(main, chars * keep), np.bincount(main, chars)
+    inside = (main > 0) & (2 * kept > total)[main]  # whole elements; smoothing alone can lift a line at a border
+    outside = np.flatnonzero(keep & (main == 0))
+    if len(outside):  # a region: short lines between content lines belong to it
+        at = np.arange(len(blocks))
+        inside |= (main == 0) & (at >= outside[0]) & (at <= outside[-1])
+    return "\n".join(b[0] for b, x in zip(blocks, inside, strict=True) if x)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
