@@ -413,6 +413,17 @@ def test_the_ratio_decides_beside_an_article_too():
     assert html_extract.extract(page) == "\n".join(["T", *(" ".join(b.split()) for b in body)])
 
 
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><meta charset=utf-8><script>x</script>", "<head><noscript><link href=a>", "<head><title>t</title></head>", "<title>t</title>", "<head><template><p>no</p></template>"])
+@pytest.mark.parametrize("start", ["<body>", "", "</head>"])
+def test_end_tags_that_may_be_left_out(head, start):
+    assert html_extract.extract(f"<html>{head}{start}<p>one<p>two <b>words</b><ul><li>three<li>four</ul>") == "one\ntwo words\nthree\nfour"
+    assert html_extract.extract(f"<!DOCTYPE html>{head}{start}<article><p>one<p>two</article><footer>f</footer>") == "one\ntwo"
+
+
+def test_text_ends_a_head():
+    assert html_extract.extract("<head><title>t</title> \n words of the page") == "words of the page"
+
+
 def tokens(text):
     return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
 

@@ -27,6 +27,8 @@ SILENT = frozenset("script style noscript template head title iframe object svg
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head can hold; any other element, or text, ends a head without end tag.
+HEAD_CONTENT = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What the start of a new block closes, as a browser does.
 CLOSES_P = BLOCKS - frozenset("br body html td th tr tbody thead tfoot caption dd dt legend summary".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|disqus|replies|respond|login|search|pagination|pager|skip|legal|copyright|toolbar|complementary|contentinfo|dialog|form)(?:$|[\s_-])", re.I)
@@ -57,7 +59,16 @@ class Blocks(HTMLParser):
     def _state(self):
         _, self.silent, self.furniture, self.main = self.open[-1] if self.open else ("", False, False, 0)
 
+    def _leave_head(self):
+        """Ends an open head and all in it, unless a template is open there: that holds any element."""
+        names = [x[0] for x in self.open]
+        if "head" in names and "template" not in names:
+            del self.open[names.index("head") :]
+            self._state()
+
     def handle_starttag(self, tag, attrs):
+        if self.silent and tag not in HEAD_CONTENT:
+            self._leave_head()
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
@@ -113,6 +124,8 @@ class Blocks(HTMLParser):
         self._close(tag, len(self.open))
 
     def handle_data(self, data):
+        if self.silent and self.open[-1][0] == "head" and data.strip():
+            self._leave_head()
         if not self.silent:
             self.parts.append(data)
 
