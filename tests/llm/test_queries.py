@@ -70,6 +70,19 @@ def test_code_lengths_are_those_of_a_plain_tree():
         assert bits[k] == pytest.approx(want, rel=1e-5)
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(6)
+    names = [f"l{k:02d}" for k in range(70)]
+    vocabulary = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for x in names}
+    rows = [(i, " ".join(rng.choice(vocabulary[names[i % 70]], 30)), names[i % 70]) for i in range(420)]
+    model = language_id.fit_table(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == names
+    import pyarrow as pa
+
+    tests = [" ".join(rng.choice(vocabulary[x], 20)) for x in names]
+    assert language_id.predict(model, pa.array(tests))[0] == names
+
+
 def test_lines(spark, tmp_path):
     from .conftest import write
 

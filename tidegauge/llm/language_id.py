@@ -7,8 +7,9 @@ context's, without the bytes seen (exclusion), with n bytes and d distinct ones
 seen. A text's exact code length under a language is the sum of -log2 of its
 bytes' probabilities; the shortest code wins.
 
-All trees are laid out as one dense table, so that scoring is two numpy gathers
-a byte, and is the same for every text whatever its length.
+Each tree has all contexts that its language's texts had, as a dense table of its
+own. A byte's context is looked up once for all languages; scoring is then two
+numpy gathers a byte and language, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -22,14 +23,10 @@ from . import common
 
 #: The fit takes about this many labelled texts of each language, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 500
-#: The most contexts of order 3 (over all languages, the most frequent) that get a node.
-MAX_CONTEXTS = 8192
-#: The most languages (the most frequent) that are learned.
-MAX_LANGUAGES = 64
 
 
-def fit(texts: list[bytes], langs: list[str], max_contexts: int = MAX_CONTEXTS) -> dict:
-    """Frozen trees of every language in langs, as one table: bits[(context, symbol), language]."""
+def fit(texts: list[bytes], langs: list[str]) -> dict:
+    """Frozen trees of every language in langs: bits[language][context, symbol], and own[language] from contexts of any language to where the own one starts."""
     names = sorted(set(langs))
     seen = np.zeros(256, np.int64)
     for t in texts:
@@ -55,44 +52,41 @@ def fit(texts: list[bytes], langs: list[str], max_contexts: int = MAX_CONTEXTS)
                         code += s[order - back : len(s) - back] * size**back
                     codes.append(code)
             counts[-1].append(np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    rows, tables, parent = [], [], None
-    before = np.full((1, size, len(names)), 1 / 256)
-    before[:, -1] = others / 256
-    for order in range(4):
-        contexts, weight = np.unique(np.concatenate([c // size for c, _ in counts[order]]), return_inverse=True)
-        if order == 3 and len(contexts) > max_contexts:
-            total = np.bincount(weight, np.concatenate([n for _, n in counts[order]]), minlength=len(contexts))
-            contexts = np.sort(contexts[np.argsort(-total, kind="stable")[:max_contexts]])
-        if order == 0:
-            contexts, up = np.zeros(1, np.int64), before
-        else:
-            up = tables[-1][rows[-1][contexts % size ** (order - 1)]]
-        seen_here = np.zeros((len(contexts), size, len(names)))
-        for k, (codes, n) in enumerate(counts[order]):
-            at = np.searchsorted(contexts, codes // size)
-            ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == codes // size) if len(contexts) else np.zeros(len(codes), bool)
-            seen_here[at[ok], codes[ok] % size, k] = n[ok]
-        n, d = seen_here.sum(1, keepdims=True), (seen_here > 0).sum(1, keepdims=True)
-        rest = np.where(seen_here > 0, 0, up).sum(1, keepdims=True)
-        escape = np.where(rest > 0, d / np.maximum(rest, 1e-300), 0)
-        here = np.where(seen_here > 0, seen_here, escape * up) / np.maximum(n + d, 1)
-        tables.append(np.where(n > 0, here, up))
-        index = np.full(size**order, -1, np.int32)
-        index[contexts] = np.arange(len(contexts))
-        rows.append(index)
-    base, index = 0, []
+    nodes = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([c // size for c, _ in counts[order]])) for order in (1, 2, 3)]
+    base, index, shorter_node = 0, [], []
     for order in range(4):  # a context without a node falls to the shorter one
-        own = rows[order].astype(np.int32)
-        own[own >= 0] += base
-        if order:
-            shorter = np.tile(index[-1], size)
-            own = np.where(own < 0, shorter, own)
-        index.append(own)
-        base += len(tables[order])
-    p = np.concatenate(tables)
-    p[:, -1] /= others
-    bits = -np.log2(np.maximum(p, 2.0**-60)).astype(np.float32)
-    return {"langs": names, "symbol": symbol, "size": size, "index": index, "bits": bits.reshape(-1, len(names))}
+        here = np.tile(index[-1], size) if order else np.zeros(1, np.int32)
+        shorter_node.append(here[nodes[order]])
+        here[nodes[order]] = base + np.arange(len(nodes[order]))
+        index.append(here)
+        base += len(nodes[order])
+    own, bits = [], []
+    for k in range(len(names)):
+        tables, places, contexts, first = [], [], None, 0
+        for order in range(4):
+            codes, weight = counts[order][k]
+            shorter = contexts
+            contexts = np.unique(codes // size) if order else np.zeros(1, np.int64)
+            if order:
+                up = tables[-1][np.searchsorted(shorter, contexts % size ** (order - 1))]
+            else:
+                up = np.full((1, size), 1 / 256)
+                up[:, -1] = others / 256
+            seen_here = np.zeros((len(contexts), size))
+            seen_here[np.searchsorted(contexts, codes // size), codes % size] = weight
+            n, d = seen_here.sum(1, keepdims=True), (seen_here > 0).sum(1, keepdims=True)
+            rest = np.where(seen_here > 0, 0, up).sum(1, keepdims=True)
+            escape = np.where(rest > 0, d / np.maximum(rest, 1e-300), 0)
+            tables.append(np.where(n > 0, np.where(seen_here > 0, seen_here, escape * up) / np.maximum(n + d, 1), up))
+            place = np.concatenate(places)[shorter_node[order]] if order else np.zeros(1, np.int64)
+            place[np.searchsorted(nodes[order], contexts)] = (first + np.arange(len(contexts))) * size
+            places.append(place)
+            first += len(contexts)
+        p = np.concatenate(tables)
+        p[:, -1] /= others
+        bits.append(-np.log2(np.maximum(p, 2.0**-60)).astype(np.float32).ravel())
+        own.append(np.concatenate(places))
+    return {"langs": names, "symbol": symbol, "size": size, "index": index, "own": own, "bits": bits}
 
 
 def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,10 +106,9 @@ def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     row[at] = index[1][s[at - 1]]
     at = starts[starts + 2 < ends] + 2
     row[at] = index[2][s[at - 2] * size + s[at - 1]]
-    row *= size
-    row += s
-    bits = model["bits"].take(row, axis=0)
-    out[offsets[1:] > offsets[:-1]] = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+    filled = offsets[1:] > offsets[:-1]
+    for k, (own, bits) in enumerate(zip(model["own"], model["bits"], strict=True)):
+        out[filled, k] = np.add.reduceat(bits.take(own.take(row) + s), starts, dtype=np.float64)
     return out
 
 
@@ -149,15 +142,15 @@ def fit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Fits on about per_language rows of each language (rows with null text or language are left out).
 
     Rows are chosen by a hash of the id, so the same table gives the same model; the driver receives no more than
-    MAX_LANGUAGES * per_language texts in the mean.
+    per_language texts of each language in the mean.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not n:
         return {"langs": []}
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
-    pick = (F.xxhash64(F.coalesce("i", F.lit(""))).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < share[F.col("l")]
-    got = rows.where(F.col("l").isin(list(n)) & pick).select("t", "l").toArrow().to_pydict()
+    shares = rows.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in n.items()], "l string, share double")
+    pick = (F.xxhash64(F.coalesce("i", F.lit(""))).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.col("share")
+    got = rows.join(F.broadcast(shares), "l").where(pick).select("t", "l").toArrow().to_pydict()
     if not got["t"]:
         return {"langs": []}
     return fit([t.encode() for t in got["t"]], got["l"])
