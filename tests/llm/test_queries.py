@@ -473,6 +473,13 @@ def test_decontamination(spark, edge, documents):
         assert got[k]["distance"] <= decontaminate.RADIUS
 
 
+def test_short_items_are_found_in_longer_documents(spark):
+    docs = spark.createDataFrame([(1, "well, Blue Whale songs are long and blue whale songs are low"), (2, "blue whale songs"), (3, "blue songs of a whale in the sea"), (None, "a whale is what it was"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "blue whale songs"), (1, "Whale"), (2, ""), (3, "songs of a whale in the")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(0, 1, 1, 1, 1.0), (1, 0, 1, 3, 1.0), (1, 1, 2, 1, 1.0), (2, 0, 0, 3, 1.0), (2, 1, 1, 1, 1.0), (3, 1, 4, 1, 1.0), (3, 3, 1, 6, 1.0)]
+
+
 def test_pipeline(spark, edge, documents):
     import corpus_pipeline
 

@@ -77,11 +77,33 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("value")) for i in range(n)])
 
 
+def short_items(words: DataFrame, grams: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key, item, start, n_words) of items of fewer than SHINGLE words, by document windows of an item's own length; None without such items.
+
+    Such an item is one shingle, so a window is equal to it (similarity 1, distance 0) or has nothing of it.
+    """
+    short = totals.where(F.col("n_words") < SHINGLE).select(F.col("item").alias("item_"), F.col("n_words").alias("k"))
+    lengths = sorted(r["k"] for r in short.select("k").distinct().collect())
+    if not lengths:
+        return None
+    items = grams.join(short, F.col("item").eqNullSafe(F.col("item_"))).select("item", "k", "s")
+    found = None
+    for k in lengths:
+        at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))
+        windows = words.select(*key, "w", F.explode_outer(at).alias("start")).where(F.col("start").isNotNull())
+        windows = windows.select(*key, "start", F.xxhash64(*[F.get("w", F.col("start") + i) for i in range(k)]).alias("s"))
+        hits = windows.join(F.broadcast(items.where(F.col("k") == k)) if items.count() <= BROADCAST_SHINGLES else items.where(F.col("k") == k), "s")
+        hits = hits.groupBy(*key, "item").agg(F.min("start").alias("start"), F.first("k").alias("n_words"))
+        found = hits if found is None else found.union(hits)
+    return found
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, start_word, n_words, similarity, distance): each row's best window for each item that it has a near copy of.
 
     The best window is the most similar of those that start at a shared shingle, of equal ones the first; start_word counts the document's words from 0. A
-    document shorter than an item is one window. Items and documents without words match nothing. Ids may be null;
+    document shorter than an item is one window. Items of fewer than five words are found word for word, also as
+    passages. Items and documents without words match nothing. Ids may be null;
     rows with the same id are told apart by their texts, and equal rows give one result row.
     """
     grams, totals = item_shingles(items, item_id, item_text)
@@ -141,7 +163,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = exact.join(near, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("item") == F.col("item_"), F.col("start") == F.col("start_")])
     best = found.groupBy(*key, "item").agg(F.min_by(F.struct("start", "similarity", "distance"), F.struct(-F.round("similarity", 9), "start")).alias("x"))
     out = best.join(sized(totals.select(F.col("item").alias("item_"), "n_words")), F.col("item") == F.col("item_"))
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), "n_words", F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
+    out = out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), "n_words", F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
+    short = short_items(words.select("id", F.xxhash64("text").alias("text_hash"), "w"), grams, totals, key)
+    if short is None:
+        return out
+    short = short.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("start").alias("start_word"), "n_words", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"))
+    return out.where(F.col("n_words") >= SHINGLE).union(short)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
