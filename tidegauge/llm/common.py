@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes that separate words: space, and tab to carriage return.
@@ -55,6 +56,11 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **more) -> DataFrame:
+    """df's rows as one struct column `row`, beside the columns in more: no name of df meets one of an operator. `row.*` unpacks."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
 def per_worker(key: tuple, make):
     """make()'s value, made once in each Python process; functions that travel by value have no lasting globals."""
     kept = sys.__dict__.setdefault("_tidegauge_kept", {})
