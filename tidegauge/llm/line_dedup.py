@@ -74,13 +74,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
 ORACLE_SQL = {
-    "op2_line_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    "op2_line_dedup": """WITH all_rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM (SELECT DISTINCT doc_id, text FROM all_rows)),
 p AS (SELECT doc_id, text, l, unnest(generate_series(0, len(l) - 3)) AS pos FROM d WHERE len(l) >= 3),
 w AS (SELECT doc_id, text, pos, l[pos + 1] AS a, l[pos + 2] AS b, l[pos + 3] AS c FROM p),
 k AS (SELECT doc_id, text, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, pos) AS k FROM w WHERE trim(a) != '' OR trim(b) != '' OR trim(c) != ''),
 g AS (SELECT DISTINCT doc_id, text, pos + i AS line FROM k CROSS JOIN (VALUES (0), (1), (2)) v(i) WHERE k.k > 1),
 x AS (SELECT doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n FROM d),
-r AS (SELECT x.doc_id, x.n, x.pos, x.line, g.line IS NOT NULL AS gone FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.text = g.text AND x.pos = g.line),
-t AS (SELECT doc_id, max(n) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM r GROUP BY doc_id)
-SELECT doc_id, n_lines, n_removed, length(clean) AS n_chars, sha256(clean) AS clean_sha256 FROM t"""
+r AS (SELECT x.doc_id, x.text, x.n, x.pos, x.line, g.line IS NOT NULL AS gone FROM x LEFT JOIN g ON x.doc_id IS NOT DISTINCT FROM g.doc_id AND x.text = g.text AND x.pos = g.line),
+t AS (SELECT doc_id, text, max(n) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM r GROUP BY doc_id, text)
+SELECT t.doc_id, n_lines, n_removed, length(clean) AS n_chars, sha256(clean) AS clean_sha256 FROM all_rows a JOIN t ON a.doc_id IS NOT DISTINCT FROM t.doc_id AND a.text = t.text"""
 }
