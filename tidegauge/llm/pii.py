@@ -199,4 +199,28 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_pii": op4_pii}
-ORACLE_SQL: dict[str, str] = {}
+_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "term": r"\p{L}{3,}"}
+_MATCHES = " UNION ALL ".join(f"SELECT rid, {k} AS k, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM d" for k, (kind, pattern) in enumerate(_PLAIN.items()))
+#: The same by plain patterns, with a row for each match.
+ORACLE_SQL = {
+    "op4_pii": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({_MATCHES}),
+b AS (SELECT rid, k, kind, unnest(p) AS piece, unnest(m) AS v, generate_subscripts(p, 1) AS i FROM a WHERE len(m) > 0),
+c AS (SELECT rid, k, kind, v, regexp_replace(v, '[^0-9]', '', 'g') AS digits, CAST(sum(length(piece) + coalesce(length(v), 0)) OVER (PARTITION BY rid, k ORDER BY i) AS BIGINT) - length(v) AS start FROM b),
+e AS (SELECT *, start + length(v) AS stop FROM c WHERE v IS NOT NULL AND CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr(digits, CAST(length(digits) - j + 1 AS BIGINT), 1) AS INTEGER) ELSE (2 * CAST(substr(digits, CAST(length(digits) - j + 1 AS BIGINT), 1) AS INTEGER)) // 10 + (2 * CAST(substr(digits, CAST(length(digits) - j + 1 AS BIGINT), 1) AS INTEGER)) % 10 END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+base AS (SELECT * FROM e WHERE kind != 'term'),
+term AS (SELECT rid, lower(v) AS t, start, stop FROM e WHERE kind = 'term'),
+ent AS (SELECT DISTINCT rid, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE digits END AS entity FROM base),
+n AS (SELECT count(*) AS n FROM d),
+dfe AS (SELECT entity, count(*) AS df_e FROM ent GROUP BY entity HAVING count(*) >= {SUPPORT} AND count(*) < (SELECT n FROM n)),
+dft AS (SELECT t, count(DISTINCT rid) AS df_t FROM term GROUP BY t HAVING count(DISTINCT rid) >= {SUPPORT}),
+rest AS (SELECT DISTINCT t.rid, t.t FROM term t WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = t.rid AND x.start <= t.stop AND x.stop >= t.start)),
+pairs AS (SELECT ent.entity, rest.t, df_e, df_t, count(*) AS both_ FROM rest JOIN dft ON rest.t = dft.t JOIN ent ON rest.rid = ent.rid JOIN dfe ON ent.entity = dfe.entity GROUP BY ent.entity, rest.t, df_e, df_t HAVING count(*) >= {SUPPORT}),
+flagged AS (SELECT DISTINCT t FROM pairs CROSS JOIN n WHERE 1 - log2(df_t / both_) / log2(n / df_e) >= {DISCLOSURE}),
+extra AS (SELECT t.rid, 4 AS k, 'term' AS kind, t.start, t.stop FROM term t JOIN flagged f ON t.t = f.t WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = t.rid AND x.start < t.stop AND x.stop > t.start)),
+spans AS (SELECT rid, k, kind, start, stop FROM base UNION ALL SELECT * FROM extra),
+g AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base_, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS all_ FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_, '')) AS base_sha256, coalesce(all_, '') AS spans FROM d LEFT JOIN g ON d.rid = g.rid"""
+}
