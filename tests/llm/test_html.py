@@ -88,5 +88,5 @@ def test_rows(spark):
     rows = [(1, "u", f"<p>{A}</p>"), (1, "u", f"<p>{A}</p>"), (None, None, f"<p>{B}</p>"), (2, "v", None), (3, "w", ""), (4, "x", "<p>" + "word " * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1)).withColumn("_html", F.lit("clash"))
     got = Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(pages, keep=["url"]).collect())
-    want = Counter((i, u, t := " ".join(re.sub("<p>", "", h or "").split()), len(t)) for i, u, h in rows)
+    want = Counter((i, u, t := " ".join(re.sub("</?p>", "", h or "").split()), len(t)) for i, u, h in rows)
     assert got == want

@@ -5,12 +5,13 @@ weigh by their rarity among the items. A window of an item's length is a near
 copy if the weighted Jaccard similarity of the two multisets of shingles is at
 least SIMILARITY.
 
-1. Exact bound: the item's weight within a window's shingles must reach
-   SIMILARITY times the item's, so (document, item) pairs below that, and windows
-   below that, are left out without loss.
+1. Exact bound, whatever the item: the weight of a window's shingles that some
+   item of that length has must reach SIMILARITY times the least total of those
+   items. Documents, and then windows, below that are left out without loss.
 2. Each window left and each item get a 64-bit SimHash. Cut in RADIUS + 1 blocks,
    two fingerprints within RADIUS bits agree in one block at least, so an equality
-   join on (item, block, value) finds all of them.
+   join on (length, block, value) finds all pairs of window and item within RADIUS.
+   These pairs are the candidates; there are no others.
 3. Candidates are verified by the exact similarity.
 """
 
@@ -43,15 +44,15 @@ def _words(docs: DataFrame, text_col: str, out: str = "w") -> DataFrame:
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(item, s, count, weight) and (item, n_words, n_shingles, total weight) of items with words."""
+    """(item, n_words, s, count, weight) and (item, n_words, n_shingles, total and distinct_total weight) of items with words."""
     words = _words(items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")), "text").withColumn("n_words", F.size("w"))
     grams = shingled(words, ["item", "n_words"]).groupBy("item", "n_words", "s").agg(F.count("*").alias("count"))
     grams = common.saved(grams, "grams")
     n = grams.select("item").distinct().count()
     rare = grams.groupBy("s").agg(F.count_distinct("item").alias("df")).select("s", (F.log(1 + F.lit(float(n)) / F.col("df")) / F.log(F.lit(1 + float(max(n, 1))))).alias("weight"))
     grams = common.saved(grams.join(rare, "s"), "weighted")
-    totals = grams.groupBy("item", "n_words").agg(F.sum("count").alias("n_shingles"), F.sum(F.col("count") * F.col("weight")).alias("total"))
-    return grams.select("item", "s", "count", "weight"), totals
+    totals = grams.groupBy("item", "n_words").agg(F.sum("count").alias("n_shingles"), F.sum(F.col("count") * F.col("weight")).alias("total"), F.sum("weight").alias("distinct_total"))
+    return grams.select("item", "n_words", "s", "count", "weight"), common.saved(totals, "totals")
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def short_items(words: DataFrame, grams: DataFrame, totals: DataFrame, key: list
     lengths = sorted(r["k"] for r in short.select("k").distinct().collect())
     if not lengths:
         return None
-    items = grams.join(short, F.col("item").eqNullSafe(F.col("item_"))).select("item", "k", "s")
+    items = grams.join(short, F.col("item").eqNullSafe(F.col("item_")) & (F.col("n_words") == F.col("k"))).select("item", "k", "s")
     found = None
     for k in lengths:
         at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))
@@ -98,6 +99,70 @@ def short_items(words: DataFrame, grams: DataFrame, totals: DataFrame, key: list
     return found
 
 
+def _sums(hits: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, bound): the weight of the hits (keys, pos, weight) in each window of m shingles from start.
+
+    Running sums over hits and window borders in one order; the difference of a window's two is its weight.
+    """
+    low = starts.select(*keys, F.col("start").alias("x"), F.lit(0).alias("turn"), F.lit(0.0).alias("weight"), "start", F.lit(-1.0).alias("sign"))
+    high = starts.select(*keys, (F.col("start") + F.col("m") - 1).alias("x"), F.lit(2).alias("turn"), F.lit(0.0).alias("weight"), "start", F.lit(1.0).alias("sign"))
+    rows = hits.select(*keys, F.col("pos").alias("x"), F.lit(1).alias("turn"), "weight", F.lit(None).cast("int").alias("start"), F.lit(0.0).alias("sign"))
+    order = Window.partitionBy(*keys).orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.union(low).union(high).withColumn("sum", F.sum("weight").over(order)).where("start IS NOT NULL")
+    return rows.groupBy(*keys, "start").agg(F.sum(F.col("sum") * F.col("sign")).alias("bound"))
+
+
+def candidate_windows(docs: DataFrame, grams: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows that some item of their length could match: (key, m, start) and their shingles (key, m, start, s, weight). docs: (id, text)."""
+    key = ["id", "text_hash"]
+    words = _words(docs, "text")
+    rows = shingled(words.select("id", F.xxhash64("text").alias("text_hash"), "w"), key)
+    # with each shingle go the lengths of the items that have it: far fewer than items where a passage is in all of them
+    lengths = totals.groupBy(F.col("n_shingles").alias("m")).agg(F.min("total").alias("least"), F.max(F.col("total") - F.col("distinct_total")).alias("slack"))
+    known = grams.groupBy("s").agg(F.first("weight").alias("weight"), F.collect_set("m").alias("ms"))
+    few = grams.select("s", "m").distinct().count() <= BROADCAST_SHINGLES
+    sized = lambda df: F.broadcast(df) if few else df
+    hits = rows.join(sized(known), "s").select(*key, "pos", "s", "weight", F.explode("ms").alias("m")).distinct()  # repeated rows are one document
+    hits = common.saved(hits, "hits")
+    # repeats can raise an item's total and not its distinct shingles, so the bound of a document uses distinct ones
+    have = hits.select(*key, "m", "s", "weight").distinct().groupBy(*key, "m").agg(F.sum("weight").alias("have")).join(sized(lengths), "m")
+    have = common.saved(have.where(F.col("have") >= SIMILARITY * F.col("least") - F.col("slack") - 1e-6).select(*key, "m", "least"), "pairs")
+    ids = have.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    own = docs.withColumn("text_hash", F.xxhash64("text")).join(ids, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_")], "left_semi").dropDuplicates(key)
+    own = _words(own, "text").withColumn("len", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
+    own = common.saved(shingled(own, [*key, "len"]), "shingles")
+    lens = own.groupBy(F.col("id").alias("id3"), F.col("text_hash").alias("hash3")).agg(F.max("len").alias("len"))
+    have = have.join(lens, [F.col("id").eqNullSafe(F.col("id3")), F.col("text_hash") == F.col("hash3")]).select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("m").alias("m_"), "least", "len")
+    near = hits.join(have, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("m") == F.col("m_")]).select(*key, "m", "pos", "weight", "least", "len")
+    near = common.saved(near, "near")
+    # A window that starts before its first shared shingle is no better than the one that starts at it: its intersection
+    # is no larger, and what it has more of weighs 1, the most. So windows start at shared shingles.
+    last = F.greatest(F.lit(0), F.col("len") - F.col("m")).cast("int")
+    starts = near.select(*key, "m", "least", F.least("pos", last).alias("start")).distinct()
+    sums = _sums(near, starts, [*key, "m"])
+    sums = sums.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "bound")
+    same = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("m") == F.col("m_"), F.col("start") == F.col("start_")]
+    windows = starts.join(sums, same).where(F.col("bound") >= SIMILARITY * F.col("least") - 1e-6).select(*key, "m", "start")
+    windows = common.saved(windows, "windows")
+    full = windows.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "m", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m").cast("int") - 1)).alias("at"))
+    full = full.join(own, [F.col("id_").eqNullSafe(F.col("id")), F.col("hash_") == F.col("text_hash"), F.col("at") == F.col("pos")]).select(*key, "m", "start", "s")
+    full = full.join(sized(known.select(F.col("s").alias("s_"), "weight")), F.col("s") == F.col("s_"), "left")
+    return windows, common.saved(full.select(*key, "m", "start", "s", F.coalesce("weight", F.lit(1.0)).alias("weight")), "full")
+
+
+def hamming_pairs(full: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, m, start, item, distance) of all windows and items of one length whose fingerprints are within RADIUS bits."""
+    window = ["id", "text_hash", "m", "start"]
+    prints = simhash(full, window).select("*", F.explode(blocks(F.col("fingerprint"))).alias("b"))
+    items = simhash(grams.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))), ["item", "m"])
+    items = items.select("item", F.col("m").alias("m_"), F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"))).alias("c"))
+    if grams.select("item").distinct().count() * (RADIUS + 1) <= BROADCAST_SHINGLES:
+        items = F.broadcast(items)
+    pairs = prints.join(items, (F.col("m") == F.col("m_")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
+    return pairs.where(F.col("distance") <= RADIUS).select(*window, "item", "distance").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, start_word, n_words, similarity, distance): each row's best window for each item that it has a near copy of.
 
@@ -107,80 +172,69 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows with the same id are told apart by their texts, and equal rows give one result row.
     """
     grams, totals = item_shingles(items, item_id, item_text)
-    few = grams.count() <= BROADCAST_SHINGLES
-    sized = lambda df: F.broadcast(df) if few else df
+    sizes = totals.select(F.col("item").alias("item_"), F.col("n_words").alias("words_"), F.col("n_shingles").alias("m"))
+    grams = common.saved(grams.join(sizes, F.col("item").eqNullSafe(F.col("item_")) & (F.col("n_words") == F.col("words_"))).select("item", "n_words", "s", "count", "weight", "m"), "sized")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = _words(docs, "text")
     key = ["id", "text_hash"]
-    rows = shingled(words.select("id", F.xxhash64("text").alias("text_hash"), "w"), key)
-    weights = grams.groupBy("s").agg(F.first("weight").alias("weight"), F.collect_list("item").alias("items"))
-    hits = common.saved(rows.join(sized(weights), "s").select(*key, "pos", "s", "weight", F.explode("items").alias("item")), "hits")
-    have = hits.select(*key, "item", "s", "weight").distinct().groupBy(*key, "item").agg(F.sum("weight").alias("have"))
-    # multiplicities can raise an item's total, not its distinct shingles, so the bound uses distinct weights
-    distinct_total = grams.groupBy("item").agg(F.sum("weight").alias("distinct_total"))
-    pairs = have.join(sized(distinct_total), "item").join(sized(totals), "item")
-    pairs = pairs.where(F.col("have") >= SIMILARITY * F.col("total") - (F.col("total") - F.col("distinct_total")) - 1e-9)
-    pairs = common.saved(pairs.select(*key, "item", "n_words", "n_shingles", "total", "distinct_total"), "pairs")
-    ids = pairs.select(*key).distinct()
-    same = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_")]
-    own = docs.withColumn("text_hash", F.xxhash64("text")).join(ids.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_")), same, "left_semi").dropDuplicates(key)
-    own = _words(own, "text").withColumn("len", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
-    shing = common.saved(shingled(own, [*key, "len"]), "shingles")
-    lens = shing.groupBy(*key).agg(F.max("len").alias("len"))
-    # A window that starts before its first shared shingle is no better than the one that starts at it: its intersection
-    # is no larger, and what it has more of weighs 1, the most. So windows start at shared shingles.
-    near = hits.join(pairs.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("item").alias("item_"), "n_shingles", "total", "distinct_total"), [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("text_hash_"), F.col("item") == F.col("item_")])
-    near = near.select(*key, "item", "pos", "s", "weight", "n_shingles", "total", "distinct_total")
-    later = Window.partitionBy(*key, "item").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    near = common.saved(near.withColumn("later", F.sum("weight").over(later)), "near")
-    # repeats of a shingle in the item can match more than one of the document, and those all stand among the later ones
-    first = near.where(F.col("later") >= SIMILARITY * F.col("total") - 1e-9)
-    first = first.join(lens.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3"), "len"), [F.col("id").eqNullSafe(F.col("id3")), F.col("text_hash") == F.col("hash3")])
-    last = F.greatest(F.lit(0), F.col("len") - F.col("n_shingles")).cast("int")
-    first = first.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("item").alias("item_"), F.least("pos", last).alias("start")).distinct()
-    inside = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("item") == F.col("item_"), F.col("pos") >= F.col("start"), F.col("pos") < F.col("start") + F.col("n_shingles")]
-    starts = near.join(first, inside).select(*key, "item", "start", "s", "weight", "n_shingles", "total")
-    # min of counts is at most the count in the item, so hits beyond it do not help
-    limit = grams.select(F.col("item").alias("item_"), F.col("s").alias("s_"), F.col("count").alias("limit"))
-    starts = starts.groupBy(*key, "item", "start", "s", "weight", "n_shingles", "total").agg(F.count("*").alias("n"))
-    starts = starts.join(sized(limit), (F.col("item") == F.col("item_")) & (F.col("s") == F.col("s_")))
-    starts = starts.groupBy(*key, "item", "start", "n_shingles", "total").agg(F.sum(F.col("weight") * F.least("n", "limit")).alias("inter"))
-    windows = common.saved(starts.where(F.col("inter") >= SIMILARITY * F.col("total") - 1e-9), "windows")
-    # all shingles of these windows
-    full = windows.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "item", "start", "total", "inter", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_shingles").cast("int") - 1)).alias("at"))
-    full = full.join(shing, [F.col("id_").eqNullSafe(F.col("id")), F.col("hash_") == F.col("text_hash"), F.col("at") == F.col("pos")]).select(*key, "item", "start", "total", "inter", "s")
-    full = full.join(sized(weights.select(F.col("s").alias("s_"), "weight")), F.col("s") == F.col("s_"), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    full = common.saved(full.select(*key, "item", "start", "total", "inter", "s", "weight"), "full")
-    prints = simhash(full, [*key, "item", "start"])
-    item_prints = simhash(grams.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))), ["item"])
-    left = prints.select("*", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*key, "item", "start", "fingerprint", "b.block", "b.value")
-    right = item_prints.select(F.col("item").alias("item_"), F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"))).alias("c")).select("item_", "item_print", F.col("c.block").alias("block_"), F.col("c.value").alias("value_"))
-    near = left.join(sized(right), (F.col("item") == F.col("item_")) & (F.col("block") == F.col("block_")) & (F.col("value") == F.col("value_")))
-    near = near.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).where(F.col("distance") <= RADIUS).select(*key, "item", "start", "distance").distinct()
-    exact = full.groupBy(*key, "item", "start", "total", "inter").agg(F.sum("weight").alias("own"))
-    exact = exact.withColumn("similarity", F.col("inter") / (F.col("own") + F.col("total") - F.col("inter"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
-    near = near.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("item").alias("item_"), F.col("start").alias("start_"), "distance")
-    found = exact.join(near, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("item") == F.col("item_"), F.col("start") == F.col("start_")])
-    best = found.groupBy(*key, "item").agg(F.min_by(F.struct("start", "similarity", "distance"), F.struct(-F.round("similarity", 9), "start")).alias("x"))
-    out = best.join(sized(totals.select(F.col("item").alias("item_"), "n_words")), F.col("item") == F.col("item_"))
-    out = out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), "n_words", F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
-    short = short_items(words.select("id", F.xxhash64("text").alias("text_hash"), "w"), grams, totals, key)
+    window = [*key, "m", "start"]
+    long = grams.where(F.col("n_words") >= SHINGLE)
+    windows, full = candidate_windows(docs, long, totals.where(F.col("n_words") >= SHINGLE))
+    pairs = common.saved(hamming_pairs(full, long), "candidates")
+    counts = full.groupBy(*window, "s").agg(F.first("weight").alias("weight"), F.count("*").alias("n"))
+    own = full.groupBy(*window).agg(F.sum("weight").alias("own")).select(*[F.col(c).alias(f"{c}_") for c in window], "own")
+    same = [F.col("id").eqNullSafe(F.col("id_"))] + [F.col(c) == F.col(f"{c}_") for c in window[1:]]
+    pairs = pairs.join(own, same).select(*window, "item", "distance", "own")
+    both = counts.join(pairs.select(*[F.col(c).alias(f"{c}_") for c in window], "item"), same).select(*window, "s", "weight", "n", "item")
+    limit = long.select(F.col("item").alias("item_"), F.col("s").alias("s_"), F.col("count").alias("limit"))
+    both = both.join(limit, F.col("item").eqNullSafe(F.col("item_")) & (F.col("s") == F.col("s_")))
+    inter = both.groupBy(*window, "item").agg(F.sum(F.col("weight") * F.least("n", "limit")).alias("inter"))
+    inter = inter.select(*[F.col(c).alias(f"{c}_") for c in [*window, "item"]], "inter")
+    found = pairs.join(inter, [*same, F.col("item").eqNullSafe(F.col("item_"))]).select(*window, "item", "distance", "own", "inter")
+    found = found.join(totals.select(F.col("item").alias("item_"), "n_words", "total", F.col("n_shingles").alias("m_")), F.col("item").eqNullSafe(F.col("item_")) & (F.col("m") == F.col("m_")))
+    found = found.withColumn("similarity", F.col("inter") / (F.col("own") + F.col("total") - F.col("inter"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
+    best = found.groupBy(*key, "item").agg(F.min_by(F.struct("start", "n_words", "similarity", "distance"), F.struct(-F.round("similarity", 9), "start")).alias("x"))
+    out = best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), F.col("x.n_words").alias("n_words"), F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
+    short = short_items(_words(docs, "text").select("id", F.xxhash64("text").alias("text_hash"), "w"), grams, totals, key)
     if short is None:
         return out
     short = short.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("start").alias("start_word"), "n_words", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"))
-    return out.where(F.col("n_words") >= SHINGLE).union(short)
+    return out.union(short)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near copy of a benchmark item in a document: one row per document and item."""
-    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    """Every near copy of a benchmark item in a document: one row per document and item. Null texts have no words."""
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a near copy of any benchmark item."""
-    bad = contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    """Documents without a near copy of any benchmark item.
+
+    Rows are judged by their own texts; all rows of an id that has a contaminated one go. Null ids are one id, null and
+    empty texts stay, and so does everything if the benchmark is empty. Columns may have any name.
+    """
+    bad = contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad")).distinct()
+    return common.packed(docs, id=F.col("doc_id")).join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+#: The exact search over every window that starts at a shared shingle, without fingerprints.
+ORACLE_SQL = {
+    "op10_decontamination": r"""WITH i0 AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i1 AS (SELECT item_id, len(w) AS n_words, w, unnest(generate_series(0, greatest(len(w) - 5, 0))) AS pos FROM i0 WHERE len(w) > 0),
+ig AS (SELECT item_id, n_words, array_to_string(w[pos + 1 : pos + 5], ' ') AS s, count(*) AS c FROM i1 GROUP BY 1, 2, 3),
+n AS (SELECT count(DISTINCT item_id) AS n FROM ig),
+wt AS (SELECT s, ln(1 + n.n / count(DISTINCT item_id)) / ln(1 + n.n) AS weight FROM ig CROSS JOIN n GROUP BY s, n.n),
+tot AS (SELECT item_id, n_words, CAST(sum(c) AS BIGINT) AS m, sum(c * weight) AS total FROM ig JOIN wt ON ig.s = wt.s GROUP BY item_id, n_words),
+d0 AS (SELECT row_number() OVER () AS k, doc_id, w FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents) q WHERE len(w) > 0),
+d1 AS (SELECT k, doc_id, w, unnest(generate_series(0, greatest(len(w) - 5, 0))) AS pos FROM d0),
+ds AS (SELECT k, doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s, greatest(len(w) - 4, 1) AS len FROM d1),
+st AS (SELECT DISTINCT ds.k, ds.doc_id, ig.item_id, ig.n_words, m, total, least(pos, greatest(0, len - m)) AS start FROM ds JOIN ig ON ds.s = ig.s JOIN tot ON ig.item_id IS NOT DISTINCT FROM tot.item_id AND ig.n_words = tot.n_words WHERE ig.n_words >= 5),
+win AS (SELECT st.k, st.doc_id, st.item_id, st.n_words, total, start, ds.s, count(*) AS n FROM st JOIN ds ON st.k = ds.k AND ds.pos >= start AND ds.pos < start + m GROUP BY ALL),
+sim AS (SELECT win.k, win.doc_id, win.item_id, win.n_words, start, total, sum(CASE WHEN ig.s IS NULL THEN 0 ELSE weight * least(n, c) END) AS inter, sum(n * coalesce(weight, 1)) AS own FROM win LEFT JOIN wt ON win.s = wt.s LEFT JOIN ig ON win.s = ig.s AND win.item_id IS NOT DISTINCT FROM ig.item_id AND win.n_words = ig.n_words GROUP BY ALL),
+ok AS (SELECT *, inter / (own + total - inter) AS similarity FROM sim WHERE inter / (own + total - inter) >= 0.8 - 1e-12),
+best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM ok),
+sw AS (SELECT DISTINCT item_id, n_words, s FROM ig WHERE n_words < 5),
+sd AS (SELECT k, doc_id, item_id, n_words, s, w, unnest(generate_series(0, len(w) - n_words)) AS start FROM d0 JOIN (SELECT DISTINCT item_id, n_words, s FROM sw) x ON len(w) >= n_words)
+SELECT doc_id, item_id, start AS start_word, n_words, round(similarity, 6) AS similarity FROM best WHERE r = 1
+UNION ALL SELECT doc_id, item_id, min(start) AS start_word, n_words, CAST(1 AS DOUBLE) AS similarity FROM sd WHERE array_to_string(w[start + 1 : start + n_words], ' ') = s GROUP BY k, doc_id, item_id, n_words"""
+}

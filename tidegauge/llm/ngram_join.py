@@ -608,6 +608,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that of the smallest (id, text digest), null ids last. Groups are of five-word shingles at 0.8.
 
     Of rows with the same id and text one stays. Rows without words (or with null text) are in no group, and all stay.
+    Columns may have any name.
     """
     rule = Rule(5, 80)
     digest = F.xxhash64("text")
@@ -619,13 +620,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = least.join(roots, "c", "left").groupBy(F.coalesce("f", "c").alias("f")).agg(F.min("x").alias("x"))
     keep = least.select(F.col("x.i").alias("_i"), F.col("x.d").alias("_d"), F.col("x.copies").alias("_n"))
     keep = common.saved(keep.union(classes.where("n = 0").select("id.i", "id.d", F.lit(1).cast("long")).distinct()), "keep")
-    same = [F.col("doc_id").eqNullSafe(F.col("_i")), digest == F.col("_d")]
-    once = docs.join(keep.where("_n = 1"), same, "left_semi").select(*docs.columns)
+    same = [F.col("id").eqNullSafe(F.col("_i")), F.col("digest").eqNullSafe(F.col("_d"))]
+    held = common.packed(docs, id=F.col("doc_id"), digest=digest)
+    once = held.join(keep.where("_n = 1"), same, "left_semi").select("row")
     repeated = keep.where("_n > 1")
-    if repeated.isEmpty():
-        return once
-    first = docs.join(repeated, same, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
-    return once.union(first.select(*docs.columns))
+    if not repeated.isEmpty():
+        once = once.union(held.join(repeated, same, "left_semi").dropDuplicates(["id", "digest"]).select("row"))
+    return once.select("row.*")
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
