@@ -55,20 +55,20 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return grams.select("item", "n_words", "s", "count", "weight"), common.saved(totals, "totals")
 
 
-def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint) from rows (keys, s, weight): bit b is 1 if shingles with bit b outweigh those without.
+def simhash(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, fingerprint, more aggregates) from rows (keys, s, weight, n): bit b is 1 if shingles with bit b, n times each, outweigh those without.
 
     Two counters of 32 bits share a long, so 32 sums make 64 bits; integer weights are 1 to 8.
     """
     mask = (1 << 32) + 1
-    q = F.ceil(F.col("weight") * 8).cast("long")
-    sums = rows.groupBy(*keys).agg(F.sum(q).alias("_all"), *[F.sum(F.shiftrightunsigned("s", b).bitwiseAND(F.lit(mask)) * q).alias(f"_{b}") for b in range(32)])
+    q = F.ceil(F.col("weight") * 8).cast("long") * F.col("n")
+    sums = rows.groupBy(*keys).agg(F.sum(q).alias("_all"), *[F.sum(F.shiftrightunsigned("s", b).bitwiseAND(F.lit(mask)) * q).alias(f"_{b}") for b in range(32)], *more)
     out = F.lit(0).cast("long")
     for b in range(32):
         low = F.col(f"_{b}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("_all")
         high = F.shiftrightunsigned(f"_{b}", 32) * 2 > F.col("_all")
         out = out.bitwiseOR(F.when(low, F.lit(1 << b)).otherwise(F.lit(0)).cast("long")).bitwiseOR(F.when(high, F.shiftleft(F.lit(1).cast("long"), b + 32)).otherwise(F.lit(0)).cast("long"))
-    return sums.select(*keys, out.alias("fingerprint"))
+    return sums.select(*keys, out.alias("fingerprint"), *[c for c in sums.columns if c not in keys and not c.startswith("_")])
 
 
 def blocks(fingerprint: Column) -> Column:
@@ -112,55 +112,62 @@ def _sums(hits: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "start").agg(F.sum(F.col("sum") * F.col("sign")).alias("bound"))
 
 
+#: A document's key: two hashes of its id and text, so that null and repeated ids need no care on the way.
+KEY = ["k1", "k2"]
+WINDOW = [*KEY, "m", "start"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds KEY to (id, text, ..)."""
+    return docs.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(7), "id", "text")})
+
+
 def candidate_windows(docs: DataFrame, grams: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows that some item of their length could match: (key, m, start) and their shingles (key, m, start, s, weight). docs: (id, text)."""
-    key = ["id", "text_hash"]
-    words = _words(docs, "text")
-    rows = shingled(words.select("id", F.xxhash64("text").alias("text_hash"), "w"), key)
+    """Windows that some item of their length could match: (KEY, id) of their documents, and (WINDOW, fingerprint, own, bag).
+
+    docs: (id, text, KEY). own is a window's weight; bag its shingles as (s, weight, n). Documents and windows move by
+    KEY alone, a document once, as the array of its shingles.
+    """
+    rows = shingled(_words(docs, "text").select(*KEY, "w"), KEY)
     # with each shingle go the lengths of the items that have it: far fewer than items where a passage is in all of them
     lengths = totals.groupBy(F.col("n_shingles").alias("m")).agg(F.min("total").alias("least"), F.max(F.col("total") - F.col("distinct_total")).alias("slack"))
     known = grams.groupBy("s").agg(F.first("weight").alias("weight"), F.collect_set("m").alias("ms"))
     few = grams.select("s", "m").distinct().count() <= BROADCAST_SHINGLES
     sized = lambda df: F.broadcast(df) if few else df
-    hits = rows.join(sized(known), "s").select(*key, "pos", "s", "weight", F.explode("ms").alias("m")).distinct()  # repeated rows are one document
+    hits = rows.join(sized(known), "s").select(*KEY, "pos", "s", "weight", F.explode("ms").alias("m")).distinct()  # repeated rows are one document
     hits = common.saved(hits, "hits")
     # repeats can raise an item's total and not its distinct shingles, so the bound of a document uses distinct ones
-    have = hits.select(*key, "m", "s", "weight").distinct().groupBy(*key, "m").agg(F.sum("weight").alias("have")).join(sized(lengths), "m")
-    have = common.saved(have.where(F.col("have") >= SIMILARITY * F.col("least") - F.col("slack") - 1e-6).select(*key, "m", "least"), "pairs")
-    ids = have.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    own = docs.withColumn("text_hash", F.xxhash64("text")).join(ids, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_")], "left_semi").dropDuplicates(key)
-    own = _words(own, "text").withColumn("len", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
-    own = common.saved(shingled(own, [*key, "len"]), "shingles")
-    lens = own.groupBy(F.col("id").alias("id3"), F.col("text_hash").alias("hash3")).agg(F.max("len").alias("len"))
-    have = have.join(lens, [F.col("id").eqNullSafe(F.col("id3")), F.col("text_hash") == F.col("hash3")]).select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("m").alias("m_"), "least", "len")
-    near = hits.join(have, [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("m") == F.col("m_")]).select(*key, "m", "pos", "weight", "least", "len")
+    have = hits.select(*KEY, "m", "s", "weight").distinct().groupBy(*KEY, "m").agg(F.sum("weight").alias("have")).join(sized(lengths), "m")
+    have = common.saved(have.where(F.col("have") >= SIMILARITY * F.col("least") - F.col("slack") - 1e-6).select(*KEY, "m", "least"), "pairs")
+    own = _words(docs.join(have.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY), "text").where(F.size("w") > 0)
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+    own = common.saved(own.select(*KEY, "id", F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)])).alias("ss")), "shingles")
+    near = hits.join(have.join(own.select(*KEY, F.size("ss").alias("len")), KEY), [*KEY, "m"]).select(*KEY, "m", "pos", "weight", "least", "len")
     near = common.saved(near, "near")
     # A window that starts before its first shared shingle is no better than the one that starts at it: its intersection
     # is no larger, and what it has more of weighs 1, the most. So windows start at shared shingles.
     last = F.greatest(F.lit(0), F.col("len") - F.col("m")).cast("int")
-    starts = near.select(*key, "m", "least", F.least("pos", last).alias("start")).distinct()
-    sums = _sums(near, starts, [*key, "m"])
-    sums = sums.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "bound")
-    same = [F.col("id").eqNullSafe(F.col("id_")), F.col("text_hash") == F.col("hash_"), F.col("m") == F.col("m_"), F.col("start") == F.col("start_")]
-    windows = starts.join(sums, same).where(F.col("bound") >= SIMILARITY * F.col("least") - 1e-6).select(*key, "m", "start")
+    starts = near.select(*KEY, "m", "least", F.least("pos", last).alias("start")).distinct()
+    windows = starts.join(_sums(near, starts, [*KEY, "m"]), WINDOW).where(F.col("bound") >= SIMILARITY * F.col("least") - 1e-6).select(*WINDOW)
     windows = common.saved(windows, "windows")
-    full = windows.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "m", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m").cast("int") - 1)).alias("at"))
-    full = full.join(own, [F.col("id_").eqNullSafe(F.col("id")), F.col("hash_") == F.col("text_hash"), F.col("at") == F.col("pos")]).select(*key, "m", "start", "s")
-    full = full.join(sized(known.select(F.col("s").alias("s_"), "weight")), F.col("s") == F.col("s_"), "left")
-    return windows, common.saved(full.select(*key, "m", "start", "s", F.coalesce("weight", F.lit(1.0)).alias("weight")), "full")
-
-
-def hamming_pairs(full: DataFrame, grams: DataFrame) -> DataFrame:
-    """(key, m, start, item, distance) of all windows and items of one length whose fingerprints are within RADIUS bits."""
-    window = ["id", "text_hash", "m", "start"]
-    prints = simhash(full, window).select("*", F.explode(blocks(F.col("fingerprint"))).alias("b"))
-    items = simhash(grams.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))), ["item", "m"])
+    # a merge join deals both sides by KEY, which the aggregates then need no more shuffle for
+    full = windows.join(own.select(*KEY, "ss").hint("merge"), KEY).select(*WINDOW, F.explode(F.slice("ss", F.col("start") + 1, F.col("m").cast("int"))).alias("s"))
+    full = full.join(sized(known.select("s", "weight")), "s", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    counts = full.groupBy(*WINDOW, "s").agg(F.first("weight").alias("weight"), F.count("*").alias("n"))
+    prints = simhash(counts, WINDOW, F.sum(F.col("weight") * F.col("n")).alias("own"), F.collect_list(F.struct("s", "weight", "n")).alias("bag"))
+    return own.select(*KEY, "id"), common.saved(prints, "prints")
+
+
+def hamming_pairs(prints: DataFrame, grams: DataFrame) -> DataFrame:
+    """(WINDOW, item, distance) of all windows and items of one length whose fingerprints are within RADIUS bits."""
+    left = prints.select(*WINDOW, "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("b"))
+    items = simhash(grams.withColumnRenamed("count", "n"), ["item", "m"])
     items = items.select("item", F.col("m").alias("m_"), F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"))).alias("c"))
     if grams.select("item").distinct().count() * (RADIUS + 1) <= BROADCAST_SHINGLES:
         items = F.broadcast(items)
-    pairs = prints.join(items, (F.col("m") == F.col("m_")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
+    pairs = left.join(items, (F.col("m") == F.col("m_")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
     pairs = pairs.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
-    return pairs.where(F.col("distance") <= RADIUS).select(*window, "item", "distance").distinct()
+    return pairs.where(F.col("distance") <= RADIUS).select(*WINDOW, "item", "distance").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -174,27 +181,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     grams, totals = item_shingles(items, item_id, item_text)
     sizes = totals.select(F.col("item").alias("item_"), F.col("n_words").alias("words_"), F.col("n_shingles").alias("m"))
     grams = common.saved(grams.join(sizes, F.col("item").eqNullSafe(F.col("item_")) & (F.col("n_words") == F.col("words_"))).select("item", "n_words", "s", "count", "weight", "m"), "sized")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    key = ["id", "text_hash"]
-    window = [*key, "m", "start"]
+    docs = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     long = grams.where(F.col("n_words") >= SHINGLE)
-    windows, full = candidate_windows(docs, long, totals.where(F.col("n_words") >= SHINGLE))
-    pairs = common.saved(hamming_pairs(full, long), "candidates")
-    counts = full.groupBy(*window, "s").agg(F.first("weight").alias("weight"), F.count("*").alias("n"))
-    own = full.groupBy(*window).agg(F.sum("weight").alias("own")).select(*[F.col(c).alias(f"{c}_") for c in window], "own")
-    same = [F.col("id").eqNullSafe(F.col("id_"))] + [F.col(c) == F.col(f"{c}_") for c in window[1:]]
-    pairs = pairs.join(own, same).select(*window, "item", "distance", "own")
-    both = counts.join(pairs.select(*[F.col(c).alias(f"{c}_") for c in window], "item"), same).select(*window, "s", "weight", "n", "item")
+    few = long.count() <= BROADCAST_SHINGLES
+    sized = lambda df: F.broadcast(df) if few else df
+    ids, prints = candidate_windows(docs, long, totals.where(F.col("n_words") >= SHINGLE))
+    pairs = common.saved(hamming_pairs(prints, long), "candidates")
+    pairs = pairs.join(prints.select(*WINDOW, "own", "bag"), WINDOW)
     limit = long.select(F.col("item").alias("item_"), F.col("s").alias("s_"), F.col("count").alias("limit"))
-    both = both.join(limit, F.col("item").eqNullSafe(F.col("item_")) & (F.col("s") == F.col("s_")))
-    inter = both.groupBy(*window, "item").agg(F.sum(F.col("weight") * F.least("n", "limit")).alias("inter"))
-    inter = inter.select(*[F.col(c).alias(f"{c}_") for c in [*window, "item"]], "inter")
-    found = pairs.join(inter, [*same, F.col("item").eqNullSafe(F.col("item_"))]).select(*window, "item", "distance", "own", "inter")
-    found = found.join(totals.select(F.col("item").alias("item_"), "n_words", "total", F.col("n_shingles").alias("m_")), F.col("item").eqNullSafe(F.col("item_")) & (F.col("m") == F.col("m_")))
+    both = pairs.select(*WINDOW, "item", "distance", "own", F.explode("bag").alias("x"))
+    both = both.join(sized(limit), F.col("item").eqNullSafe(F.col("item_")) & (F.col("x.s") == F.col("s_")))
+    inter = both.groupBy(*WINDOW, "item", "distance", "own").agg(F.sum(F.col("x.weight") * F.least("x.n", "limit")).alias("inter"))
+    found = inter.join(sized(totals.select(F.col("item").alias("item_"), "n_words", "total", F.col("n_shingles").alias("m_"))), F.col("item").eqNullSafe(F.col("item_")) & (F.col("m") == F.col("m_")))
     found = found.withColumn("similarity", F.col("inter") / (F.col("own") + F.col("total") - F.col("inter"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
-    best = found.groupBy(*key, "item").agg(F.min_by(F.struct("start", "n_words", "similarity", "distance"), F.struct(-F.round("similarity", 9), "start")).alias("x"))
-    out = best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), F.col("x.n_words").alias("n_words"), F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
-    short = short_items(_words(docs, "text").select("id", F.xxhash64("text").alias("text_hash"), "w"), grams, totals, key)
+    best = found.groupBy(*KEY, "item").agg(F.min_by(F.struct("start", "n_words", "similarity", "distance"), F.struct(-F.round("similarity", 9), "start")).alias("x"))
+    out = best.join(ids, KEY).select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("x.start").alias("start_word"), F.col("x.n_words").alias("n_words"), F.round("x.similarity", 6).alias("similarity"), F.col("x.distance").alias("distance"))
+    short = short_items(_words(docs, "text").select(*KEY, "id", "w"), grams, totals, [*KEY, "id"])
     if short is None:
         return out
     short = short.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("start").alias("start_word"), "n_words", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"))
@@ -226,15 +228,16 @@ n AS (SELECT count(DISTINCT item_id) AS n FROM ig),
 wt AS (SELECT s, ln(1 + n.n / count(DISTINCT item_id)) / ln(1 + n.n) AS weight FROM ig CROSS JOIN n GROUP BY s, n.n),
 tot AS (SELECT item_id, n_words, CAST(sum(c) AS BIGINT) AS m, sum(c * weight) AS total FROM ig JOIN wt ON ig.s = wt.s GROUP BY item_id, n_words),
 d0 AS (SELECT row_number() OVER () AS k, doc_id, w FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents) q WHERE len(w) > 0),
-d1 AS (SELECT k, doc_id, w, unnest(generate_series(0, greatest(len(w) - 5, 0))) AS pos FROM d0),
-ds AS (SELECT k, doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s, greatest(len(w) - 4, 1) AS len FROM d1),
+d1 AS (SELECT k, doc_id, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM d0),
+d2 AS (SELECT *, lead(w0, 1) OVER v AS w1, lead(w0, 2) OVER v AS w2, lead(w0, 3) OVER v AS w3, lead(w0, 4) OVER v AS w4 FROM d1 WINDOW v AS (PARTITION BY k ORDER BY pos)),
+ds AS (SELECT k, doc_id, pos, concat_ws(' ', w0, w1, w2, w3, w4) AS s, greatest(n - 4, 1) AS len FROM d2 WHERE pos <= greatest(n - 5, 0)),
 st AS (SELECT DISTINCT ds.k, ds.doc_id, ig.item_id, ig.n_words, m, total, least(pos, greatest(0, len - m)) AS start FROM ds JOIN ig ON ds.s = ig.s JOIN tot ON ig.item_id IS NOT DISTINCT FROM tot.item_id AND ig.n_words = tot.n_words WHERE ig.n_words >= 5),
 win AS (SELECT st.k, st.doc_id, st.item_id, st.n_words, total, start, ds.s, count(*) AS n FROM st JOIN ds ON st.k = ds.k AND ds.pos >= start AND ds.pos < start + m GROUP BY ALL),
 sim AS (SELECT win.k, win.doc_id, win.item_id, win.n_words, start, total, sum(CASE WHEN ig.s IS NULL THEN 0 ELSE weight * least(n, c) END) AS inter, sum(n * coalesce(weight, 1)) AS own FROM win LEFT JOIN wt ON win.s = wt.s LEFT JOIN ig ON win.s = ig.s AND win.item_id IS NOT DISTINCT FROM ig.item_id AND win.n_words = ig.n_words GROUP BY ALL),
 ok AS (SELECT *, inter / (own + total - inter) AS similarity FROM sim WHERE inter / (own + total - inter) >= 0.8 - 1e-12),
 best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM ok),
 sw AS (SELECT DISTINCT item_id, n_words, s FROM ig WHERE n_words < 5),
-sd AS (SELECT k, doc_id, item_id, n_words, s, w, unnest(generate_series(0, len(w) - n_words)) AS start FROM d0 JOIN (SELECT DISTINCT item_id, n_words, s FROM sw) x ON len(w) >= n_words)
+sd AS (SELECT k, doc_id, pos, 1 AS nw, w0 AS s FROM d2 UNION ALL SELECT k, doc_id, pos, 2, w0 || ' ' || w1 FROM d2 UNION ALL SELECT k, doc_id, pos, 3, w0 || ' ' || w1 || ' ' || w2 FROM d2 UNION ALL SELECT k, doc_id, pos, 4, w0 || ' ' || w1 || ' ' || w2 || ' ' || w3 FROM d2)
 SELECT doc_id, item_id, start AS start_word, n_words, round(similarity, 6) AS similarity FROM best WHERE r = 1
-UNION ALL SELECT doc_id, item_id, min(start) AS start_word, n_words, CAST(1 AS DOUBLE) AS similarity FROM sd WHERE array_to_string(w[start + 1 : start + n_words], ' ') = s GROUP BY k, doc_id, item_id, n_words"""
+UNION ALL SELECT doc_id, item_id, min(pos) AS start_word, n_words, CAST(1 AS DOUBLE) AS similarity FROM sd JOIN sw ON nw = n_words AND sd.s = sw.s GROUP BY k, doc_id, item_id, n_words"""
 }
