@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.tables import table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _ALL: dict[str, tuple[Callable, str | None]] = {}
@@ -31,6 +33,8 @@ _MODULES: tuple[str, ...] = (
     "tidegauge.functions.text",
     "tidegauge.plans.beliefs",
     "tidegauge.plans.pipelines",
+    "tidegauge.plans.evaluator",
+    "tidegauge.plans.search",
     "tidegauge.sources.candles",
     "tidegauge.streaming.online",
 )
@@ -70,10 +74,10 @@ def dialect(sql: str, spark: bool) -> str:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The plan of a query over the tables in sf_dir; views are bound when the plan is made."""
+    """The plan of a query over the tables in sf_dir (a folder, or a mapping of DataFrames); views are bound when the plan is made."""
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

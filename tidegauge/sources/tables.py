@@ -5,12 +5,20 @@ The SQL forms are common table expressions that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str | Mapping[str, DataFrame], name: str) -> DataFrame:
+    """A table of a folder, or of a mapping of names to DataFrames: so every query runs over rows of one's own."""
+    return sf_dir[name] if isinstance(sf_dir, Mapping) else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_events(obs: DataFrame) -> DataFrame:
+    """obs (series_id, t, x0) as the events table that sequences are read from."""
+    return obs.select(F.col("t").cast("long").alias("event_id"), F.timestamp_seconds("t").alias("ts"), F.col("series_id").cast("long").alias("user_id"), F.lit("value").alias("event_type"), F.col("x0").cast("double").alias("value"))
 
 
 def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
