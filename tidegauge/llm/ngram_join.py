@@ -27,7 +27,9 @@ from . import common
 U = np.uint64
 #: Classes that one task joins by itself; larger families are cut by pivots, and what pivots can't cut by blocks.
 LEAF = 1500
-PIVOTS = 12
+PIVOTS, MOST_DEPTH = 12, 4
+#: Tasks of a shuffle at the most; a driver keeps track of no more. Beyond 10**11 grams tasks grow.
+MOST_PARTS = 100_000
 #: Rows of class keys up to which a semi join sends them to all executors (8 bytes each); more are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -216,7 +218,11 @@ def gathered(batches) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 
 def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
-    """(c): classes of docs of which a share of percent grams at least is in another class too; no other can link."""
+    """(c, shared): in how many of its grams each class meets another class, or a few more where docs repeat a class.
+
+    A gram goes to its task once for each run of documents: with its class if that is the only one there, else as a mark
+    (class 0), so a gram that a third of all documents share arrives as often as there are runs.
+    """
 
     def packed(batches):
         common.begin("powers")
@@ -226,11 +232,15 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
                 for grams, doc, _, key in pieces(rule, data, offsets):
                     ks.append(common.mix(grams + U(0x632BE59BD9B4E019)).view(np.int64))
                     cs.append(key[doc])
-                yield dealt(np.concatenate(ks), np.concatenate(cs), n_parts)
-
-    def counted(batches):
-        common.begin("powers")
-        keys, classes, _ = gathered(batches)
+                keys, classes, shared = together(np.concatenate(ks), np.concatenate(cs))
+                # grams that two classes have here are counted here; other tasks only need to know that there are some
+                yield totals(classes[shared], 1)
+                first = np.ones(len(keys), bool)
+                first[1:] = keys[1:] != keys[:-1]
+                yield dealt(keys[first], np.where(shared, 0, classes)[first], n_parts)
+
+    def together(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs, sorted by key, and which keys stand with more than one class. Class 0 is a class of its own in each row."""
         order = np.lexsort((classes, keys))
         keys, classes = keys[order], classes[order]
         keep = np.ones(len(keys), bool)
@@ -238,14 +248,31 @@ def promising(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
         keys, classes = keys[keep], classes[keep]
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
-        c, n = np.unique(classes[same[1:] | same[:-1]], return_counts=True)
-        # a class has grams in many parts, so its counts go on packed, a row for each pair of tasks
+        return keys, classes, same[1:] | same[:-1]
+
+    def totals(classes: np.ndarray, side: int) -> pa.RecordBatch:
+        """How often each class comes, packed for the tasks of classes, a row for each pair of tasks; side 1 goes past the tasks of grams."""
+        c, n = np.unique(classes[classes != 0], return_counts=True)
         part = (c.view(U) % U(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         c, n = c[order], n[order].astype(np.int64)
         cut = np.searchsorted(part[order], np.arange(n_parts + 1))
         full = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(-1 - full if side else full, pa.int64()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "a", "b"])
+
+    def counted(batches):
+        common.begin("powers")
+        mine = []
+        for b in batches:
+            past = np.array([p < 0 for p in b.column(0).to_pylist()], bool)
+            if past.any():
+                on = b.filter(pa.array(past))
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - p for p in on.column(0).to_pylist()], pa.int64()), on.column(1), on.column(2)], ["part", "a", "b"])
+            if not past.all():
+                mine.append(b.filter(pa.array(~past)))
+        keys, classes, _ = gathered(mine)
+        _, classes, shared = together(keys, classes)
+        yield totals(classes[shared], 0)
 
     def added(batches):
         ns, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -383,6 +410,8 @@ class Family:
                 if near[far] <= 0 or len(pivots) == PIVOTS:
                     break
                 pivots.append(int(members[far]))
+            if len(set(map(self.find, members.tolist()))) == 1:
+                return  # balls that meet are one component
             inside = d[: len(d)] <= near + 2 * self.rule.r + 1e-9
             if inside.sum(1).max() <= 0.7 * len(members):
                 home = d.argmin(0)
@@ -396,6 +425,9 @@ class Family:
         """What pivots can't cut: every set against those of like size."""
         members = members[np.argsort(self.n[members], kind="stable")]
         n = self.n[members]
+        root = np.array([self.find(i) for i in members.tolist()])
+        if (root == root[0]).all():
+            return
         if len(members) <= 48 or not len(self.code):
             for i in range(len(members) - 1):
                 p = members[i]
@@ -416,32 +448,37 @@ class Family:
         for i in range(len(members) - 1):
             top = int(np.searchsorted(n, n[i] * 100 // self.rule.percent, "right"))
             lo, hi = i + 1, max(i + 1, top)
-            if hi <= lo:
-                continue
+            if hi <= lo or (root[lo:hi] == root[i]).all():
+                continue  # those of one component need no comparison
             p = members[i]
             self.mark[self.code[self.at[p] : self.at[p + 1]]] = 1
             run = np.concatenate([[0], np.cumsum(self.mark[flat[end[i] : end[hi - 1]]])])
             inter = run[end[lo:hi] - end[i]] - run[end[lo:hi] - width[lo:hi] - end[i]]
             self.mark[self.code[self.at[p] : self.at[p + 1]]] = 0
             hit = self.rule.linked(inter, n[lo:hi], n[i])
-            if hit.any():
+            if (hit & (root[lo:hi] != root[i])).any():
                 self.union(p, members[lo:hi][hit])
+                root = np.array([self.find(j) for j in members.tolist()])
 
     def roots(self) -> np.ndarray:
         return np.array([self.find(i) for i in range(len(self.root))])
 
 
 def solved(sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
-    """(c, f): in each region (column g) of rows (g, c, grams), the least class of c's component there."""
+    """(c, f): in each region (column g) of rows (g, c, grams, ball), the least class of c's component there. Rows of one ball are known to be connected."""
 
     def run(batches):
-        group, cs, ss = None, [], []
+        group, cs, ss, bs = None, [], [], []
 
         def out():
             key = np.array(cs, np.int64)
             order = np.argsort(key, kind="stable")
             keep = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]  # equal classes may come twice
             family = Family(rule, [ss[i] for i in keep])
+            heads: dict = {}
+            for i, k in enumerate(keep):
+                if bs[k] is not None:
+                    family.union(heads.setdefault(bs[k], i), (i,))
             family.region(np.arange(len(keep)))
             key = key[keep]
             return key, key[family.roots()]
@@ -450,14 +487,15 @@ def solved(sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                for g, c, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                for g, c, s, ball in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
                     if g != group:
                         if cs:
                             for k, x in enumerate(out()):
                                 done[k].append(x)
-                        group, cs, ss = g, [], []
+                        group, cs, ss, bs = g, [], [], []
                     cs.append(c)
                     ss.append(np.frombuffer(s.as_buffer(), U))
+                    bs.append(ball)
                 if sum(map(len, done[0])) > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in done], ["c", "f"])
                     done = [[], []]
@@ -467,16 +505,18 @@ def solved(sets: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
         if done[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in done], ["c", "f"])
 
-    return sets.select("g", "c", "grams").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(tidy(run), "c bigint, f bigint")
+    return sets.select("g", "c", "grams", "ball").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(tidy(run), "c bigint, f bigint")
 
 
-def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Cuts each region g of rows (g, c, grams) by pivots: (rows of the new regions, edges (a, b) of links to pivots).
+def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cuts each region g of rows (g, c, grams, ball) by pivots: (rows of the new regions, the same rows uncut with their balls, edges (a, b) of links to pivots).
 
-    A region has PIVOTS pivots at most, the first classes by a hash, so a row meets a fixed number of them.
+    A region has PIVOTS pivots at most, the first classes by a hash, those outside of balls before others, so a row meets
+    a fixed number of them. All that link with a pivot are its ball, and balls that share a row are one: the edges make
+    them a component, so rows of one ball are never compared, and a region of one ball alone is done.
     """
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("c", "g"), "c"))
-    heads = rows.select("g", "c").distinct().withColumn("k", rank).where(F.col("k") <= PIVOTS).select("g", F.col("c").alias("p"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.col("ball").isNotNull(), F.xxhash64("c", "g"), "c"))
+    heads = rows.groupBy("g", "c").agg(F.max("ball").alias("ball")).withColumn("k", rank).where(F.col("k") <= PIVOTS).select("g", F.col("c").alias("p"))
     pivots = heads.join(rows.select("g", F.col("c").alias("p"), F.col("grams").alias("own")), ["g", "p"]).dropDuplicates(["g", "p"])
     percent, r = rule.percent, rule.r
 
@@ -491,12 +531,25 @@ def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(i, pa.int64()), pa.array(u, pa.int64())], ["g", "c", "p", "i", "u"])
 
     near = common.saved(rows.join(pivots, "g").select("g", "c", "p", "grams", "own").mapInArrow(tidy(measure), "g bigint, c bigint, p bigint, i bigint, u bigint"), "pivots")
-    edges = near.where(F.col("i") * 100 >= F.col("u") * percent).where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b"))
+    linked = F.col("i") * 100 >= F.col("u") * percent
+    edges = near.where(linked).where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b"))
     d = 1 - F.col("i") / F.greatest("u", F.lit(1))
-    least = near.groupBy("g", "c").agg(F.min(d).alias("least"))
-    homes = near.join(least, ["g", "c"]).where(d <= F.col("least") + 2 * r + 1e-9).select("g", "c", "p")
-    regions = rows.join(homes, ["g", "c"]).select(F.xxhash64("g", "p").alias("g"), "c", "grams")
-    return regions, edges
+    least = near.groupBy("g", "c").agg(F.min(d).alias("least"), F.min(F.when(linked, F.col("p"))).alias("p0"), F.collect_set(F.when(linked, F.col("p"))).alias("ps"))
+    least = common.saved(least, "least")
+    meet = least.select(F.col("p0").alias("a"), F.explode("ps").alias("b")).distinct()  # pivots alone
+    roots = connected(meet).select(F.col("c").alias("p0"), "f")
+    balls = least.join(roots, "p0", "left").select("g", "c", "least", F.coalesce("f", "p0").alias("own_ball"))
+    labelled = rows.join(balls.select("g", "c", "own_ball"), ["g", "c"]).select("g", "c", "grams", F.coalesce("ball", "own_ball").alias("ball"))
+    labelled = common.saved(labelled, "labelled")
+    homes = near.join(balls, ["g", "c"]).where(d <= F.col("least") + 2 * r + 1e-9).select("g", "c", "p")
+    regions = unfinished(labelled).join(homes, ["g", "c"]).select(F.xxhash64("g", "p").alias("g"), "c", "grams", "ball")
+    return unfinished(common.saved(regions, "regions")), unfinished(labelled), edges
+
+
+def unfinished(rows: DataFrame) -> DataFrame:
+    """Rows of regions that are more than one ball."""
+    some = rows.groupBy("g").agg(F.min("ball").alias("x"), F.max("ball").alias("y"), F.count("*").alias("n"), F.count("ball").alias("k")).where("k < n OR x != y").select("g")
+    return rows.join(some, "g", "left_semi")
 
 
 def by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -504,20 +557,28 @@ def by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return count.where(F.col("size") <= limit), count.where(F.col("size") > limit)
 
 
-def block_rows(rows: DataFrame, big: DataFrame, limit: int) -> DataFrame:
-    """Rows of irreducible regions, dealt to pairs of blocks: each pair of rows meets in one region at least."""
-    rows = rows.join(big, "g").withColumn("blocks", F.ceil(F.col("size") / (limit // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("g", "c", "grams", "own", pair)
-    return rows.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "c", "grams")
+def block_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of irreducible regions, dealt to pairs of blocks: each pair of rows that is not of the region's greatest ball meets in one region at least."""
+    sizes = rows.groupBy("g", "ball").agg(F.count("*").alias("k"))
+    top = sizes.where("ball IS NOT NULL").groupBy("g").agg(F.max_by("ball", "k").alias("top"))
+    rows = rows.join(top, "g", "left").withColumn("in_top", F.coalesce(F.col("ball") == F.col("top"), F.lit(False)))
+    n = rows.groupBy("g").agg(F.count_if("in_top").alias("a"), F.count_if(~F.col("in_top")).alias("o"))
+    blocks = lambda c: F.ceil(F.col(c) / (limit // 2)).cast("int")
+    rows = rows.join(n.select("g", blocks("a").alias("a"), blocks("o").alias("o")), "g")
+    own = F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.when(F.col("in_top"), F.col("a")).otherwise(F.col("o")))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("in_top"), -1 - own).otherwise(own))  # blocks of the ball are below 0
+    ours = F.when(F.col("o") > 0, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.array().cast("array<int>"))
+    theirs = F.when((F.col("a") > 0) & ~F.col("in_top"), F.sequence(-F.col("a"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("g", "c", "grams", "ball", "own", F.explode(F.concat(ours, theirs)).alias("other"))
+    return rows.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "c", "grams", "ball")
 
 
 def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """(c, f): classes that link with any other, with the least class of their component. docs: (id, text)."""
     total = classes.where("n > 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = common.n_partitions(docs.sparkSession)
-    # about half a million part keys a task at the most
-    n_parts = max(2 * parts, int(total // 1_000_000))
+    # about half a million part keys a task, until there are MOST_PARTS tasks
+    n_parts = max(2 * parts, min(MOST_PARTS, int(total // 1_000_000)))
 
     def texts_of(some: DataFrame) -> DataFrame:
         """One text of each class."""
@@ -544,11 +605,11 @@ def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
                 grams, _, at, key = gram_sets(rule, data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([grams[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["c", "grams"])
 
-    rows = texts.mapInArrow(tidy(run), "c bigint, grams binary").join(families, "c").select(F.col("f").alias("g"), "c", "grams")
+    rows = texts.mapInArrow(tidy(run), "c bigint, grams binary").join(families, "c").select(F.col("f").alias("g"), "c", "grams", F.lit(None).cast("long").alias("ball"))
     rows = common.saved(rows, "families")
     found = []
     whole = True
-    for depth in range(4):
+    for depth in range(MOST_DEPTH):
         small, big = by_size(rows, LEAF)
         big = common.saved(big, "big")
         if not big.limit(1).count():
@@ -557,16 +618,11 @@ def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
         whole = False
         found.append(solved(rows.join(big, "g", "left_anti"), rule, parts))
         rows = rows.join(big, "g", "left_semi")
-        if depth == 3:
-            found.append(solved(block_rows(rows, big, LEAF), rule, parts))
-            break
-        cut, edges = pivot_rows(rows, rule)
-        cut = common.saved(cut, "regions")
+        cut, uncut, edges = pivot_rows(rows, rule)
         found.append(edges.select(F.col("b").alias("c"), F.col("a").alias("f")))
-        # regions that kept most of a family's rows would never get small: those families go to blocks
-        before, after = rows.count(), cut.count()
-        if after > 0.5 * PIVOTS * before:
-            found.append(solved(block_rows(rows, big, LEAF), rule, parts))
+        # regions that keep most of a family's rows would never get small: what is not one ball there goes to blocks
+        if depth == MOST_DEPTH - 1 or cut.count() > 0.5 * PIVOTS * rows.count():
+            found.append(solved(block_rows(uncut, LEAF), rule, parts))
             break
         rows = cut
     pairs = found[0]
