@@ -29,6 +29,7 @@ _MODULES: tuple[str, ...] = (
     "tidegauge.operators.kernels",
     "tidegauge.operators.kernels_more",
     "tidegauge.operators.nets",
+    "tidegauge.operators.deep",
     "tidegauge.operators.classifiers",
     "tidegauge.functions.text",
     "tidegauge.plans.beliefs",

@@ -19,18 +19,28 @@ from ..catalog import query
 from ..sources.tables import obs_events
 
 
+#: Rows that a series needs for its windows, lags and periods.
+SHORTEST = 32
+
+
 def kernel(*names: str, name: str | None = None, layer: str = "signal", **about):
-    """Registers f(x) -> numbers as a query over all series. A series that the kernel can't take gives nulls."""
+    """Registers f(x) -> numbers as a query over all series.
+
+    A series shorter than SHORTEST rows, a constant one, and one whose equations are singular give nulls; any other
+    error is one of the kernel, and stops the query.
+    """
 
     def add(f: Callable):
         schema = "series_id bigint, " + ", ".join(f"{n} double" for n in names)
 
         def group(pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf.sort_values("t")["x0"].to_numpy(float)
-            try:
-                out = [float(v) for v in f(x)]
-            except (np.linalg.LinAlgError, ValueError, IndexError, ZeroDivisionError, FloatingPointError):
-                out = [None] * len(names)
+            out = [None] * len(names)
+            if len(x) >= SHORTEST and x.min() < x.max():
+                try:
+                    out = [float(v) for v in f(x)]
+                except np.linalg.LinAlgError:
+                    pass
             return pd.DataFrame([[pdf["series_id"].iloc[0], *out]], columns=["series_id", *names])
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,32 +93,6 @@ def nbeats_forecaster(x):
     return m + s * run(q)[0, 0], float(((run(a) - y) ** 2).mean())
 
 
-@kernel("next", "train_loss", layer="sequence")
-def pinn_forecaster(x):
-    """A hidden layer with a penalty of 0.1 on the curvature that the forecast gives the window."""
-    a, y, q, m, s = windows(x)
-    net = Net([LAG, HIDDEN, 1])
-    for _ in range(EPOCHS):
-        f = net.forward(a)
-        bend = f - 2 * a[:, -1:] + a[:, -2:-1]
-        net.backward(2 * ((f - y) + 0.1 * bend) / len(a))
-    return m + s * net.forward(q)[0, 0], float(((net.forward(a) - y) ** 2).mean())
-
-
-@kernel("next", "train_loss", layer="sequence")
-def autoformer_forecaster(x):
-    """Trend of each window by its mean of three, and what is left, forecast apart."""
-    a, y, q, m, s = windows(x)
-
-    def split(v):
-        t = np.stack([v[:, max(0, i - 1) : i + 2].mean(1) for i in range(LAG)], 1)
-        return np.concatenate([t, v - t], 1)
-
-    net = Net([2 * LAG, HIDDEN, 1])
-    loss = net.fit(split(a), y)
-    return m + s * net.forward(split(q))[0, 0], loss
-
-
 @kernel("next", "train_loss", layer="sequence")
 def fno_forecaster(x):
     """The window's Fourier modes through a hidden layer."""
@@ -249,44 +223,6 @@ def deep_autoencoder(x):
     return (net.fit(a, a, 120),)
 
 
-@kernel("residual", layer="noise")
-def vae_denoise(x):
-    """The same with a noisy bottleneck, whose size is held down."""
-    a = windows(x)[0]
-    rng = np.random.default_rng(0)
-    up, down = Net([LAG, 8, 2], 1), Net([2, 8, LAG], 2)
-    for _ in range(150):
-        z = up.forward(a)
-        e = 2 * (down.forward(z + 0.1 * rng.standard_normal(z.shape)) - a) / len(a)
-        up.backward(down.backward(e) + 0.001 * z / len(a))
-    return (float(((down.forward(up.forward(a)) - a) ** 2).mean()),)
-
-
-@kernel("n_anomalies", "threshold", layer="noise")
-def vae_anomaly(x):
-    """Windows that the noisy bottleneck rebuilds worst."""
-    a = windows(x)[0]
-    rng = np.random.default_rng(0)
-    up, down = Net([LAG, 8, 2], 1), Net([2, 8, LAG], 2)
-    for _ in range(150):
-        z = up.forward(a)
-        up.backward(down.backward(2 * (down.forward(z + 0.1 * rng.standard_normal(z.shape)) - a) / len(a)) + 0.001 * z / len(a))
-    e = ((down.forward(up.forward(a)) - a) ** 2).mean(1)
-    return (e > np.quantile(e, 0.95)).sum(), np.quantile(e, 0.95)
-
-
-@kernel("residual", layer="noise")
-def diffusion_denoise(x):
-    """A network learns the noise put on windows, and takes it out of the windows as they are."""
-    a = windows(x)[0]
-    rng = np.random.default_rng(0)
-    net = Net([LAG, HIDDEN, LAG])
-    for _ in range(120):
-        e = 0.4 * rng.standard_normal(a.shape)
-        net.backward(2 * (net.forward(a + e) - e) / len(a))
-    return (float(np.abs(net.forward(a)).mean()),)
-
-
 @kernel("residual", layer="noise")
 def gcn_denoise(x):
     """Two rounds of means over the five nearest windows, with trained maps back to the window."""
@@ -350,20 +286,6 @@ def ppo_policy(x):
     return p.argmax() - 1, p.max()
 
 
-@kernel("action", "probability", layer="rl")
-def a3c_policy(x):
-    """The same with a little entropy."""
-    p = _policy(x, 0.01, True)
-    return p.argmax() - 1, p.max()
-
-
-@kernel("action", "probability", layer="rl")
-def sac_policy(x):
-    """The same with an entropy of a tenth and no baseline."""
-    p = _policy(x, 0.1, False)
-    return p.argmax() - 1, p.max()
-
-
 @kernel("dominant_freq", "energy", "confidence")
 def fft(x):
     """Strongest frequency of the demeaned series by the fast transform."""
