@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .plans import beliefs
-from .sources.tables import as_events
+from .sources.tables import as_tables
 
 #: Layers in the order in which a pathway goes through them.
 LAYERS = ("signal", "noise", "pattern", "sequence", "probability", "equation", "decision", "rl")
@@ -89,8 +89,7 @@ class Node:
             return self._model(x)
         x = validate(x)
         self.fitted = True
-        tables = {"events": as_events(x)}
-        return catalog.queries()[self.node_type](x.sparkSession, tables)
+        return catalog.queries()[self.node_type](x.sparkSession, as_tables(x))
 
     def predict(self, x) -> DataFrame:
         """Beliefs: (series_id, belief), a row a series (or vector)."""

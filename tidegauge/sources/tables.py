@@ -21,6 +21,21 @@ def as_events(obs: DataFrame) -> DataFrame:
     return obs.select(F.col("t").cast("long").alias("event_id"), F.timestamp_seconds("t").alias("ts"), F.col("series_id").cast("long").alias("user_id"), F.lit("value").alias("event_type"), F.col("x0").cast("double").alias("value"))
 
 
+def as_tables(obs: DataFrame) -> dict[str, DataFrame]:
+    """The tables that sequences are read from, out of obs (series_id, t, x0[, x1]).
+
+    Operators on one daily series see the sum of all series by t; those on a cross-section see the first five series as
+    its assets.
+    """
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("t").cast("int"))
+    second = F.col("x1") if "x1" in obs.columns else F.abs("x0")
+    trades = obs.select(day.alias("l_shipdate"), F.col("series_id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("x0").alias("l_extendedprice"), second.alias("l_quantity"))
+    first = obs.select("series_id").distinct().orderBy("series_id").limit(5)
+    rank = first.select("series_id", F.row_number().over(Window.orderBy("series_id")).alias("k"))  # five rows
+    orders = obs.join(F.broadcast(rank), "series_id").select(day.alias("o_orderdate"), F.concat(F.col("k").cast("string"), F.lit("-ASSET")).alias("o_orderpriority"), F.col("x0").alias("o_totalprice"))
+    return {"events": as_events(obs), "lineitem": trades, "orders": orders}
+
+
 def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series per user: the values of the user's events in time order."""
     w = Window.partitionBy("series_id").orderBy("ts", "event_id")
