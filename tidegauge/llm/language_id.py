@@ -141,8 +141,8 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray, np.nd
 def fit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Fits on about per_language rows of each language (rows with null text or language are left out).
 
-    Rows are chosen by a hash of the id, so the same table gives the same model; the driver receives no more than
-    per_language texts of each language in the mean.
+    Rows are chosen by a hash of the id, so the same table gives the same model. One task receives about per_language
+    texts of each language and fits; the driver receives the model.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -150,10 +150,29 @@ def fit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return {"langs": []}
     shares = rows.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in n.items()], "l string, share double")
     pick = (F.xxhash64(F.coalesce("i", F.lit(""))).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < F.col("share")
-    got = rows.join(F.broadcast(shares), "l").where(pick).select("t", "l").toArrow().to_pydict()
-    if not got["t"]:
+    rows = rows.join(F.broadcast(shares), "l").where(pick).select("i", "t", "l")
+
+    def train(batches):
+        texts, langs = [], []
+        for b in batches:
+            texts += [t.encode() for t in b.column(1).to_pylist()]
+            langs += b.column(2).to_pylist()
+        if not texts:
+            return
+        model = fit(texts, langs)
+        pieces = [("symbol", 0, model["symbol"])] + [(k, i, a) for k in ("index", "own", "bits") for i, a in enumerate(model[k])]
+        pieces += [("size", 0, np.array([model["size"]], np.int64))] + [("langs", i, np.frombuffer(x.encode(), np.uint8)) for i, x in enumerate(model["langs"])]
+        for k, i, a in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int32()), pa.array([str(a.dtype)]), pa.array([a.tobytes()], pa.binary())], ["k", "i", "kind", "value"])
+
+    # one task fits on the bounded sample, so the driver holds the finished model alone
+    got = rows.repartition(1).sortWithinPartitions("i", "l", "t").mapInArrow(train, "k string, i int, kind string, value binary").collect()
+    if not got:
         return {"langs": []}
-    return fit([t.encode() for t in got["t"]], got["l"])
+    parts: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r["k"], r["i"])):
+        parts.setdefault(r["k"], []).append(np.frombuffer(r["value"], r["kind"]))
+    return {"langs": [a.tobytes().decode() for a in parts["langs"]], "symbol": parts["symbol"][0], "size": int(parts["size"][0][0]), "index": parts["index"], "own": parts["own"], "bits": parts["bits"]}
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
