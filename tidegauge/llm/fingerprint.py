@@ -90,14 +90,17 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Rows (run, ghost, id, text) such that in each run, by descending id, every row that is no ghost has its next document below it.
 
     The runs are ranges of ids. A run's highest row stands as a ghost at the end of the run above, and the highest of
-    all at the end of the lowest, so texts move once and no window spans all rows. Null ids count as lowest.
+    all at the end of the lowest, so texts move once and no window spans all rows. Null ids count as lowest. Ids are
+    integers; others raise TypeError.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} is no integer")
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
     n = ids.count()
-    k = max(1, min(4096, max(common.n_partitions(spark), n // RUN_ROWS)))
+    k = max(1, common.n_partitions(spark), n // RUN_ROWS)  # the driver holds a number a run
     ranges = ids.repartitionByRange(k, "i").groupBy(F.spark_partition_id().alias("p")).agg(F.max("i").alias("top"))
-    tops = sorted({r["top"] if r["top"] is not None else -(2**63) for r in ranges.collect()}, reverse=True)  # at most k
+    tops = sorted({r["top"] if r["top"] is not None else -(2**63) for r in ranges.collect()}, reverse=True)
     if not tops:
         tops = [0]
     shown = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
@@ -143,14 +146,17 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = False
 
         def out(rows):
+            n = len(rows)
             texts = [r[1] for r in rows]
             new = [edited(r[1], r[2]) for r in rows]
-            both = pa.array(texts + new + [r[2] for r in rows], pa.large_string())
+            loose = [i for i in range(n) if i + 1 == n or rows[i + 1][1] is not rows[i][2]]  # the next row is no row of this batch
+            both = pa.array(texts + new + [rows[i][2] for i in loose], pa.large_string())
             prints: list[str] = []
             for _, _, data, offsets in common.chunks(both):
                 prints += fingerprints(data, offsets)
-            n = len(rows)
-            own, changed, after = prints[:n], prints[n : 2 * n], prints[2 * n :]
+            own, changed, after = prints[:n], prints[n : 2 * n], prints[1:n] + [""]
+            for i, p in zip(loose, prints[2 * n :], strict=True):
+                after[i] = p
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), pa.array(own, pa.string()), pa.array(changed, pa.string()), pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64())], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for b in batches:
