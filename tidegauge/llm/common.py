@@ -40,19 +40,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one only if that is unset."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; where that is unset, a temporary one in local mode alone."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="tidegauge-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/tidegauge/{kind}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. The files go when the application ends."""
     bounded(df.sparkSession)
     path = shared_dir(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
