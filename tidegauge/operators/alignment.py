@@ -25,7 +25,7 @@ def as_of(grid: DataFrame, source: DataFrame, value: str, bucket: str = "day") -
     Source and grid are dealt by time bucket, not gathered in one task: within a bucket the last value carries on, and
     each bucket's last value, of which there are few, carries over to the next ones.
     """
-    rows = source.select("ts", F.col("event_id").alias("id"), F.col(value).alias("v"), F.lit(0).alias("g")).unionByName(grid.select("ts", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("g")))
+    rows = source.select("ts", F.col("event_id").alias("id"), F.col(value).alias("v"), F.lit(0).alias("g")).unionByName(grid.select("ts", F.lit(None).cast("long").alias("id"), F.lit(None).cast(source.schema[value].dataType).alias("v"), F.lit(1).alias("g")))
     rows = rows.withColumn("b", F.date_trunc(bucket, "ts"))
     inside = Window.partitionBy("b").orderBy("ts", "g", "id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("g = 1")

@@ -34,3 +34,7 @@ score("risk_signals", f", q AS (SELECT series_id, max(t) AS t FROM ens GROUP BY
 score("evaluate_vol_forecast", f", v AS (SELECT series_id, t, stddev_pop(s) AS v, max(y) - max(p) AS move FROM ens GROUP BY series_id, t) SELECT series_id, {r('corr(v, abs(move))', 'corr')}, {r('avg(ln(v * v + 1e-12) + move * move / (v * v + 1e-12))', 'qlike', 4)} FROM v GROUP BY series_id", "Correlation with the size of moves, and quasi-likelihood.", ENS)
 score("baseline_band", f", b AS (SELECT series_id, t, px AS point, stddev_pop(dx) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM d) SELECT series_id, t, {r('point', 'point')}, {r('s', 'std')} FROM b WHERE s IS NOT NULL", "Persistence with the deviation of all earlier steps.", OBS_DIFF)
 score("belief_to_samples", f", g AS (SELECT series_id, t, avg(s) AS m, stddev_pop(s) AS sd FROM ens GROUP BY series_id, t) SELECT series_id, t, {r('m - 1.2815515655446004 * sd', 's10')}, {r('m', 's50')}, {r('m + 1.2815515655446004 * sd', 's90')} FROM g", "Quantile grid of the normal law with the ensemble's moments.", ENS)
+_QUANTILES = ", q AS (SELECT series_id, t, max(y) AS y, @pct(s, 0.1) AS a, @pct(s, 0.5) AS b, @pct(s, 0.9) AS c FROM ens GROUP BY series_id, t)"
+score("pit_values_quantile", _QUANTILES + f" SELECT series_id, t, {r('CASE WHEN y < a THEN 0 WHEN y > c THEN 1 WHEN y <= b THEN 0.1 + 0.4 * coalesce((y - a) / nullif(b - a, 0), 1) ELSE 0.5 + 0.4 * coalesce((y - b) / nullif(c - b, 0), 1) END', 'pit')} FROM q", "The distribution that three quantiles draw, read off at what came; 0 below the lowest and 1 above the highest.", ENS)
+_CARD = CRPS + ", v AS (SELECT series_id, t, avg(CASE WHEN s <= y THEN 1.0 ELSE 0.0 END) AS pit FROM ens GROUP BY series_id, t), k AS (SELECT series_id, pit, row_number() OVER (PARTITION BY series_id ORDER BY pit, t) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM v), ks AS (SELECT series_id, max(abs(i / n - pit)) AS ks, max(n) AS n FROM k GROUP BY series_id), s AS (SELECT series_id, avg(crps) AS crps, avg(base) AS base, avg(base - crps) AS gain FROM c GROUP BY series_id)"
+score("score_distribution", f" SELECT s.series_id, ks.n, {r('crps', 'mean_crps')}, {r('base', 'baseline_crps')}, {r('1 - crps / (base + 1e-12)', 'crps_skill')}, {r('gain', 'mean_outcome')}, {r('ks', 'calib_ks')}, CASE WHEN ks < 1.36 / sqrt(n) THEN 1 ELSE 0 END AS calibrated FROM s JOIN ks ON s.series_id = ks.series_id", "The whole scorecard of an ensemble: score, skill, gain and calibration.", _CARD)
