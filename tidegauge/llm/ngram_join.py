@@ -26,8 +26,8 @@ from . import common
 
 U = np.uint64
 #: Classes that one task joins by itself; larger families are cut by pivots, and what pivots can't cut by blocks.
-LEAF = 1500
-PIVOTS, MOST_DEPTH = 12, 4
+LEAF = 500
+PIVOTS, MOST_DEPTH, SALTS = 12, 4, 32
 #: Tasks of a shuffle at the most; a driver keeps track of no more. Beyond 10**11 grams tasks grow.
 MOST_PARTS = 100_000
 #: Rows of class keys up to which a semi join sends them to all executors (8 bytes each); more are shuffled.
@@ -530,7 +530,10 @@ def pivot_rows(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataF
                 u.append(len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(i, pa.int64()), pa.array(u, pa.int64())], ["g", "c", "p", "i", "u"])
 
-    near = common.saved(rows.join(pivots, "g").select("g", "c", "p", "grams", "own").mapInArrow(tidy(measure), "g bigint, c bigint, p bigint, i bigint, u bigint"), "pivots")
+    # a region of many rows is no one task's work: its rows are dealt by salt, and its few pivots go to each
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = common.saved(salted.join(pivots, ["g", "salt"]).select("g", "c", "p", "grams", "own").mapInArrow(tidy(measure), "g bigint, c bigint, p bigint, i bigint, u bigint"), "pivots")
     linked = F.col("i") * 100 >= F.col("u") * percent
     edges = near.where(linked).where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b"))
     d = 1 - F.col("i") / F.greatest("u", F.lit(1))
