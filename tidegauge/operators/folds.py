@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -35,10 +35,10 @@ _LAST = "WHERE t = (SELECT max(t) FROM obs z WHERE z.series_id = f.series_id)"
 
 @query(_recursive("x0", "0.3 * o.x0 + 0.7 * f.s", "s", "SELECT series_id, t, round(s, 6) AS y FROM f"), layer="signal", transformer=True)
 def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponentially weighted mean, alpha 0.3, at every row."""
-    v = ordered(obs_events(spark, sf_dir))
-    path = F.aggregate(F.slice("v", 2, F.size("v")), F.slice("v", 1, 1), lambda a, x: F.concat(a, F.array(0.3 * x + 0.7 * F.element_at(a, -1))))
-    return v.select("series_id", F.posexplode(path).alias("t", "y")).select("series_id", F.col("t").cast("long").alias("t"), F.round("y", 6).alias("y"))
+    """Exponentially weighted mean, alpha 0.3, at every row. What came 120 rows ago weighs less than a double can tell, so a row folds its last 120."""
+    held = F.collect_list("x0").over(Window.partitionBy("series_id").orderBy("t").rowsBetween(-120, 0))
+    rows = obs_events(spark, sf_dir).withColumn("v", held)
+    return rows.select("series_id", "t", F.round(fold(F.col("v"), F.col("v")[0], lambda a, x: 0.3 * x + 0.7 * a), 6).alias("y"))
 
 
 @query(_recursive("x0, cast(0 AS double)", "0.5 * o.x0 + 0.5 * (f.l + f.b), 0.3 * (0.5 * o.x0 + 0.5 * (f.l + f.b) - f.l) + 0.7 * f.b", "l, b", f"SELECT series_id, round(l + b, 6) AS estimate, round(l, 6) AS level, round(b, 6) AS trend FROM f {_LAST}"), layer="sequence")

@@ -161,7 +161,7 @@ def genome_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark).withColumn("role", role)
 
 
-@query(None, layer="registry")
+@query("WITH l AS (SELECT * FROM (VALUES ('signal', 0), ('noise', 1), ('pattern', 2), ('sequence', 3), ('probability', 4), ('equation', 5), ('decision', 6), ('rl', 7)) v(n, i)) SELECT x.n AS a, y.n AS b FROM l x JOIN l y ON x.i <= y.i AND x.n NOT IN ('decision', 'rl')", layer="registry")
 def compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers that may follow one another: forward only, and nothing after a terminal."""
     order = [("signal", 0), ("noise", 1), ("pattern", 2), ("sequence", 3), ("probability", 4), ("equation", 5), ("decision", 6), ("rl", 7)]

@@ -107,7 +107,11 @@ def routed_connector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connect(obs_events(spark, sf_dir), path)
 
 
-@query(None, layer="pipeline")
+_ERRORS = ", ".join(f"avg(x0) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS f{w}" for w in range(2, 13))
+_EACH = " UNION ALL ".join(f"SELECT {w} AS w, avg(abs(x0 - f{w})) AS mae FROM f WHERE t >= 12" for w in range(2, 13))
+
+
+@query(f'WITH {OBS_EVENTS}, f AS (SELECT series_id, t, x0, {_ERRORS} FROM obs), e AS ({_EACH}) SELECT w AS "window", mae, row_number() OVER (ORDER BY mae, w) AS rank FROM e', layer="pipeline")
 def dag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every specification of lag windows as rows of one job: the error of trailing means of 2 to 12, ranked."""
     obs = obs_events(spark, sf_dir)
