@@ -11,7 +11,7 @@ from tidegauge.operators import deep as d
 from tidegauge.operators import kernels as k
 from tidegauge.operators import kernels_more as m
 from tidegauge.operators import nets as n
-from tidegauge.operators.autograd import V, Weights, concat, stack, var
+from tidegauge.operators.autograd import Weights, concat, stack, var
 
 
 def noise(size=200, seed=0):
