@@ -16,13 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..sources.tables import obs_events
+from ..sources.tables import OBS_EVENTS, obs_events
 
 
 #: Rows that a series needs for its windows, lags and periods.
 SHORTEST = 32
 
 
+#: Spectrum of each series by the definition of the transform.
+_POWER = "z AS (SELECT series_id, t, x0 - avg(x0) OVER (PARTITION BY series_id) AS z, count(*) OVER (PARTITION BY series_id) AS n FROM o), f AS (SELECT series_id, n, k, power(sum(z * cos(2 * pi() * k * t / n)), 2) + power(sum(z * sin(2 * pi() * k * t / n)), 2) AS p FROM (SELECT series_id, n, t, z, unnest(generate_series(0, n // 2)) AS k FROM z) q GROUP BY series_id, n, k)"
+#: For DuckDB: further tables over o (series that a kernel takes), and the last select.
+SQL = {
+    "periodogram": (_POWER + ", d AS (SELECT series_id, n, k, CASE WHEN k >= 1 AND k < (n + 1) // 2 THEN 2 * p ELSE p END AS p FROM f)", "SELECT series_id, max_by(k, p) FILTER (k > 0) / max(n) AS dominant_freq, max(p) FILTER (k > 0) / sum(p) AS confidence FROM d GROUP BY series_id"),
+    "spectral_entropy": (_POWER + ", d AS (SELECT series_id, greatest(p / sum(p) OVER (PARTITION BY series_id), 1e-300) AS q FROM f WHERE k > 0)", "SELECT series_id, -sum(q * ln(q)) / ln(count(*)) AS entropy FROM d GROUP BY series_id"),
+    "maxent_dist": ("g AS (SELECT series_id, count(*) AS n, avg(x0) AS mu, stddev_pop(x0) + 1e-12 AS sigma FROM o GROUP BY series_id)", "SELECT series_id, n * (ln(2 * pi() * sigma * sigma) + 1) + 2 * ln(n) AS bic, mu, sigma FROM g"),
+    "exp_smoothing": ("h(series_id, t, l, b, e) AS (SELECT a.series_id, a.t, a.x0, c.x0 - a.x0, cast(0 AS double) FROM o a JOIN o c ON a.series_id = c.series_id AND a.t = 0 AND c.t = 1 UNION ALL SELECT o.series_id, o.t, 0.5 * o.x0 + 0.5 * (h.l + h.b), 0.3 * (0.5 * o.x0 + 0.5 * (h.l + h.b) - h.l) + 0.7 * h.b, h.e + abs(o.x0 - h.l - h.b) FROM h JOIN o ON o.series_id = h.series_id AND o.t = h.t + 1)", "SELECT series_id, max_by(l + b, t) AS next, max_by(e, t) / max(t) AS mae FROM h GROUP BY series_id"),
+    "elliptic_envelope": ("d AS (SELECT series_id, t, x0 AS v, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS s FROM o), z AS (SELECT series_id, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS a, (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-9) AS b FROM d WHERE s IS NOT NULL WINDOW w AS (PARTITION BY series_id)), c AS (SELECT series_id, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM z GROUP BY series_id), m AS (SELECT z.series_id, (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) AS m FROM z JOIN c ON z.series_id = c.series_id), q AS (SELECT series_id, quantile_cont(m, 0.9) AS q FROM m GROUP BY series_id)", "SELECT m.series_id, count_if(m > q) AS n_anomalies, max(m) AS max_score FROM m JOIN q ON m.series_id = q.series_id GROUP BY m.series_id"),
+}
+
+
+def _oracle(body: tuple[str, str], names: tuple[str, ...]) -> str:
+    return f"WITH RECURSIVE {OBS_EVENTS}, ids AS (SELECT series_id, count(*) >= {SHORTEST} AND min(x0) < max(x0) AS fit FROM obs GROUP BY series_id), o AS (SELECT obs.* FROM obs JOIN ids ON obs.series_id = ids.series_id AND fit), {body[0]}, out AS ({body[1]}) SELECT ids.series_id, {', '.join(f'round(out.{n}, 6) AS {n}' for n in names)} FROM ids LEFT JOIN out ON ids.series_id = out.series_id"
+
+
 def kernel(*names: str, name: str | None = None, layer: str = "signal", **about):
     """Registers f(x) -> numbers as a query over all series.
 
@@ -48,7 +64,8 @@ def kernel(*names: str, name: str | None = None, layer: str = "signal", **about)
             return out.select("series_id", *[F.round(n, 6).alias(n) for n in names])
 
         run.__name__, run.__doc__ = name or f.__name__, f.__doc__
-        query(None, name or f.__name__, layer=layer, **about)(run)
+        body = SQL.get(run.__name__)
+        query(body and _oracle(body, names), run.__name__, layer=layer, **about)(run)
         return f
 
     return add
@@ -113,9 +130,9 @@ def welch_psd(x):
 
 @kernel("entropy")
 def spectral_entropy(x):
-    """Entropy of the normalised periodogram out of the greatest."""
-    p = np.abs(np.fft.rfft(x - x.mean())) ** 2
-    p = p[p > 0] / p.sum()
+    """Entropy of the normalised periodogram above frequency 0, out of the greatest."""
+    p = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2
+    p = np.maximum(p / p.sum(), 1e-300)
     return (-(p * np.log(p)).sum() / np.log(len(p)),)
 
 
