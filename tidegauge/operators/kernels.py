@@ -25,12 +25,18 @@ SHORTEST = 32
 
 #: Spectrum of each series by the definition of the transform.
 _POWER = "z AS (SELECT series_id, t, x0 - avg(x0) OVER (PARTITION BY series_id) AS z, count(*) OVER (PARTITION BY series_id) AS n FROM o), f AS (SELECT series_id, n, k, power(sum(z * cos(2 * pi() * k * t / n)), 2) + power(sum(z * sin(2 * pi() * k * t / n)), 2) AS p FROM (SELECT series_id, n, t, z, unnest(generate_series(0, n // 2)) AS k FROM z) q GROUP BY series_id, n, k)"
+_G = np.linspace(-4, 4, 401)
+#: Deviation of the standard normal law on 401 points from -4 to 4, by trapezoids.
+_CUT = float(np.sqrt(np.trapezoid(_G**2 * np.exp(-0.5 * _G**2), _G) / np.trapezoid(np.exp(-0.5 * _G**2), _G)))
 #: For DuckDB: further tables over o (series that a kernel takes), and the last select.
 SQL = {
     "periodogram": (_POWER + ", d AS (SELECT series_id, n, k, CASE WHEN k >= 1 AND k < (n + 1) // 2 THEN 2 * p ELSE p END AS p FROM f)", "SELECT series_id, max_by(k, p) FILTER (k > 0) / max(n) AS dominant_freq, max(p) FILTER (k > 0) / sum(p) AS confidence FROM d GROUP BY series_id"),
     "spectral_entropy": (_POWER + ", d AS (SELECT series_id, greatest(p / sum(p) OVER (PARTITION BY series_id), 1e-300) AS q FROM f WHERE k > 0)", "SELECT series_id, -sum(q * ln(q)) / ln(count(*)) AS entropy FROM d GROUP BY series_id"),
     "maxent_dist": ("g AS (SELECT series_id, count(*) AS n, avg(x0) AS mu, stddev_pop(x0) + 1e-12 AS sigma FROM o GROUP BY series_id)", "SELECT series_id, n * (ln(2 * pi() * sigma * sigma) + 1) + 2 * ln(n) AS bic, mu, sigma FROM g"),
     "exp_smoothing": ("h(series_id, t, l, b, e) AS (SELECT a.series_id, a.t, a.x0, c.x0 - a.x0, cast(0 AS double) FROM o a JOIN o c ON a.series_id = c.series_id AND a.t = 0 AND c.t = 1 UNION ALL SELECT o.series_id, o.t, 0.5 * o.x0 + 0.5 * (h.l + h.b), 0.3 * (0.5 * o.x0 + 0.5 * (h.l + h.b) - h.l) + 0.7 * h.b, h.e + abs(o.x0 - h.l - h.b) FROM h JOIN o ON o.series_id = h.series_id AND o.t = h.t + 1)", "SELECT series_id, max_by(l + b, t) AS next, max_by(e, t) / max(t) AS mae FROM h GROUP BY series_id"),
+    "fokker_planck": (f"g AS (SELECT series_id, t, x0, lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS p FROM o), c AS (SELECT series_id, regr_slope(x0, p) AS b, regr_intercept(x0, p) AS a, max_by(x0, t) AS last FROM g WHERE p IS NOT NULL GROUP BY series_id), s AS (SELECT g.series_id, stddev_pop(x0 - a - b * p) + 1e-9 AS s FROM g JOIN c ON g.series_id = c.series_id WHERE p IS NOT NULL GROUP BY g.series_id)", f"SELECT c.series_id, a + b * last AS mean, s * {_CUT} AS std, 401 AS n_grid FROM c JOIN s ON c.series_id = s.series_id"),
+    "jump_diffusion": ("d AS (SELECT series_id, t - 1 AS i, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS d, least(100, greatest(20, count(*) OVER (PARTITION BY series_id) // 10)) // 2 AS half FROM o), e AS (SELECT * FROM d WHERE d IS NOT NULL), m0 AS (SELECT series_id, median(d) AS m FROM e GROUP BY series_id), w0 AS (SELECT e.series_id, median(abs(d - m)) / 0.6745 + 1e-9 AS whole FROM e JOIN m0 ON e.series_id = m0.series_id GROUP BY e.series_id), n AS (SELECT a.series_id, a.i, any_value(a.d) AS d, median(b.d) AS m, list(b.d) AS near FROM e a JOIN e b ON a.series_id = b.series_id AND b.i BETWEEN a.i - a.half AND a.i + a.half GROUP BY a.series_id, a.i), f AS (SELECT n.series_id, d, abs(d - m) / greatest(list_median(list_transform(near, lambda v: abs(v - m))) / 0.6745, 0.25 * whole) > 3.5 AS jump FROM n JOIN w0 ON n.series_id = w0.series_id)", "SELECT series_id, count_if(jump) AS n_jumps, avg(CASE WHEN jump THEN 1.0 ELSE 0.0 END) AS intensity, coalesce(stddev_pop(d) FILTER (jump), 0) AS jump_std FROM f GROUP BY series_id"),
+    "bayesian_network": ("q AS (SELECT series_id, quantile_cont(x0, 0.25) AS a, quantile_cont(x0, 0.5) AS b, quantile_cont(x0, 0.75) AS c, avg(x0) AS mean, max(t) AS last FROM o GROUP BY series_id), s AS (SELECT o.series_id, t, x0, last, mean, (x0 >= a)::INT + (x0 >= b)::INT + (x0 >= c)::INT AS code FROM o JOIN q ON o.series_id = q.series_id), j AS (SELECT x.series_id, k, x.code AS u, y.code AS v, count(*) AS n FROM s x CROSS JOIN (VALUES (1), (2), (3)) l(k) JOIN s y ON x.series_id = y.series_id AND y.t = x.t + k GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY series_id, k) AS p, sum(n) OVER (PARTITION BY series_id, k, u) / sum(n) OVER (PARTITION BY series_id, k) AS pu, sum(n) OVER (PARTITION BY series_id, k, v) / sum(n) OVER (PARTITION BY series_id, k) AS pv FROM j), mi AS (SELECT series_id, k, sum(p * log2(p / (pu * pv))) AS mi FROM p GROUP BY series_id, k), top AS (SELECT series_id, min_by(k, -round(mi, 12) * 10 + k * 1e-13) AS k, max(mi) AS mi FROM mi GROUP BY series_id), means AS (SELECT series_id, code, avg(x0) AS m FROM s GROUP BY series_id, code), now AS (SELECT top.series_id, top.k, mi, s.code, s.mean FROM top JOIN s ON s.series_id = top.series_id AND s.t = s.last - top.k + 1), e AS (SELECT now.series_id, now.k, now.mi, coalesce(j.n, 0) + 1e-9 AS n, coalesce(means.m, now.mean) AS m FROM now CROSS JOIN (VALUES (0), (1), (2), (3)) c(v) LEFT JOIN j ON j.series_id = now.series_id AND j.k = now.k AND j.u = now.code AND j.v = c.v LEFT JOIN means ON means.series_id = now.series_id AND means.code = c.v)", "SELECT series_id, max(k) AS root_lag, max(mi) AS mutual_information, sum(n * m) / sum(n) AS estimate FROM e GROUP BY series_id"),
     "elliptic_envelope": ("d AS (SELECT series_id, t, x0 AS v, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS s FROM o), z AS (SELECT series_id, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS a, (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-9) AS b FROM d WHERE s IS NOT NULL WINDOW w AS (PARTITION BY series_id)), c AS (SELECT series_id, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM z GROUP BY series_id), m AS (SELECT z.series_id, (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) AS m FROM z JOIN c ON z.series_id = c.series_id), q AS (SELECT series_id, quantile_cont(m, 0.9) AS q FROM m GROUP BY series_id)", "SELECT m.series_id, count_if(m > q) AS n_anomalies, max(m) AS max_score FROM m JOIN q ON m.series_id = q.series_id GROUP BY m.series_id"),
 }
 
