@@ -37,6 +37,10 @@ SQL = {
     "fokker_planck": (f"g AS (SELECT series_id, t, x0, lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS p FROM o), c AS (SELECT series_id, regr_slope(x0, p) AS b, regr_intercept(x0, p) AS a, max_by(x0, t) AS last FROM g WHERE p IS NOT NULL GROUP BY series_id), s AS (SELECT g.series_id, stddev_pop(x0 - a - b * p) + 1e-9 AS s FROM g JOIN c ON g.series_id = c.series_id WHERE p IS NOT NULL GROUP BY g.series_id)", f"SELECT c.series_id, a + b * last AS mean, s * {_CUT} AS std, 401 AS n_grid FROM c JOIN s ON c.series_id = s.series_id"),
     "jump_diffusion": ("d AS (SELECT series_id, t - 1 AS i, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS d, least(100, greatest(20, count(*) OVER (PARTITION BY series_id) // 10)) // 2 AS half FROM o), e AS (SELECT * FROM d WHERE d IS NOT NULL), m0 AS (SELECT series_id, median(d) AS m FROM e GROUP BY series_id), w0 AS (SELECT e.series_id, median(abs(d - m)) / 0.6745 + 1e-9 AS whole FROM e JOIN m0 ON e.series_id = m0.series_id GROUP BY e.series_id), n AS (SELECT a.series_id, a.i, any_value(a.d) AS d, median(b.d) AS m, list(b.d) AS near FROM e a JOIN e b ON a.series_id = b.series_id AND b.i BETWEEN a.i - a.half AND a.i + a.half GROUP BY a.series_id, a.i), f AS (SELECT n.series_id, d, abs(d - m) / greatest(list_median(list_transform(near, lambda v: abs(v - m))) / 0.6745, 0.25 * whole) > 3.5 AS jump FROM n JOIN w0 ON n.series_id = w0.series_id)", "SELECT series_id, count_if(jump) AS n_jumps, avg(CASE WHEN jump THEN 1.0 ELSE 0.0 END) AS intensity, coalesce(stddev_pop(d) FILTER (jump), 0) AS jump_std FROM f GROUP BY series_id"),
     "bayesian_network": ("q AS (SELECT series_id, quantile_cont(x0, 0.25) AS a, quantile_cont(x0, 0.5) AS b, quantile_cont(x0, 0.75) AS c, avg(x0) AS mean, max(t) AS last FROM o GROUP BY series_id), s AS (SELECT o.series_id, t, x0, last, mean, (x0 >= a)::INT + (x0 >= b)::INT + (x0 >= c)::INT AS code FROM o JOIN q ON o.series_id = q.series_id), j AS (SELECT x.series_id, k, x.code AS u, y.code AS v, count(*) AS n FROM s x CROSS JOIN (VALUES (1), (2), (3)) l(k) JOIN s y ON x.series_id = y.series_id AND y.t = x.t + k GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY series_id, k) AS p, sum(n) OVER (PARTITION BY series_id, k, u) / sum(n) OVER (PARTITION BY series_id, k) AS pu, sum(n) OVER (PARTITION BY series_id, k, v) / sum(n) OVER (PARTITION BY series_id, k) AS pv FROM j), mi AS (SELECT series_id, k, sum(p * log2(p / (pu * pv))) AS mi FROM p GROUP BY series_id, k), top AS (SELECT series_id, min_by(k, -round(mi, 12) * 10 + k * 1e-13) AS k, max(mi) AS mi FROM mi GROUP BY series_id), means AS (SELECT series_id, code, avg(x0) AS m FROM s GROUP BY series_id, code), now AS (SELECT top.series_id, top.k, mi, s.code, s.mean FROM top JOIN s ON s.series_id = top.series_id AND s.t = s.last - top.k + 1), e AS (SELECT now.series_id, now.k, now.mi, coalesce(j.n, 0) + 1e-9 AS n, coalesce(means.m, now.mean) AS m FROM now CROSS JOIN (VALUES (0), (1), (2), (3)) c(v) LEFT JOIN j ON j.series_id = now.series_id AND j.k = now.k AND j.u = now.code AND j.v = c.v LEFT JOIN means ON means.series_id = now.series_id AND means.code = c.v)", "SELECT series_id, max(k) AS root_lag, max(mi) AS mutual_information, sum(n * m) / sum(n) AS estimate FROM e GROUP BY series_id"),
+    "hilbert_envelope": ("n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM o), f AS (SELECT series_id, n, k, sum(x0 * cos(2 * pi() * k * t / n)) AS re, -sum(x0 * sin(2 * pi() * k * t / n)) AS im FROM (SELECT *, unnest(generate_series(0, n // 2)) AS k FROM n) q GROUP BY series_id, n, k), h AS (SELECT *, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS h FROM f), a AS (SELECT n.series_id, n.t, sum(h * (re * cos(2 * pi() * k * t / n.n) - im * sin(2 * pi() * k * t / n.n))) / max(n.n) AS u, sum(h * (re * sin(2 * pi() * k * t / n.n) + im * cos(2 * pi() * k * t / n.n))) / max(n.n) AS v FROM n JOIN h ON n.series_id = h.series_id GROUP BY n.series_id, n.t)", "SELECT series_id, avg(sqrt(u * u + v * v)) AS mean_envelope FROM a GROUP BY series_id"),
+    "mfdfa": ("y AS (SELECT series_id, t, count(*) OVER (PARTITION BY series_id) AS n, sum(x0 - m) OVER (PARTITION BY series_id ORDER BY t) AS y FROM (SELECT *, avg(x0) OVER (PARTITION BY series_id) AS m FROM o) q), w AS (SELECT series_id, s, t // s AS i, greatest(0, regr_syy(y, t % s) - coalesce(power(regr_sxy(y, t % s), 2) / regr_sxx(y, t % s), 0)) / s + 1e-12 AS v FROM y CROSS JOIN (VALUES (8), (11), (16), (22), (32)) z(s) WHERE n >= 2 * s AND t // s < n // s GROUP BY series_id, s, t // s), f AS (SELECT series_id, s, power(avg(power(v, -1)), -0.5) AS low, power(avg(v), 0.5) AS high FROM w GROUP BY series_id, s), g AS (SELECT series_id, regr_slope(ln(low), ln(s)) AS a, regr_slope(ln(high), ln(s)) AS b FROM f GROUP BY series_id)", "SELECT series_id, abs(a - b) AS multifractal_width, b AS hurst_q2 FROM g"),
+    "lyapunov_exponent": ("e AS (SELECT * FROM (SELECT series_id, t, x0 AS a, lead(x0, 1) OVER w AS b, lead(x0, 2) OVER w AS c, count(*) OVER (PARTITION BY series_id) - 2 AS m FROM o WINDOW w AS (PARTITION BY series_id ORDER BY t)) q WHERE c IS NOT NULL), p AS (SELECT x.series_id, x.t AS i, y.t AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS d, x.m FROM e x JOIN e y ON x.series_id = y.series_id), near AS (SELECT series_id, i, min_by(j, d + j * 1e-13) AS j, min(d) AS d FROM p WHERE i < m - 5 AND j < m - 5 AND abs(i - j) > 2 GROUP BY series_id, i)", "SELECT near.series_id, avg(ln(greatest(p.d, 1e-12) / greatest(near.d, 1e-12)) / k) AS lyapunov FROM near CROSS JOIN (VALUES (1), (2), (3), (4), (5)) z(k) JOIN p ON p.series_id = near.series_id AND p.i = near.i + k AND p.j = near.j + k GROUP BY near.series_id"),
+    "passive_aggressive_classifier": ("d AS (SELECT series_id, t - 1 AS i, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS d FROM o), e AS (SELECT series_id, i, d / (stddev_pop(d) OVER (PARTITION BY series_id) + 1e-9) AS d FROM d WHERE d IS NOT NULL), g AS (SELECT series_id, i, lag(d, 1) OVER w AS f, lag(d, 2) OVER w AS h, CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE -1.0 END AS y FROM e WINDOW w AS (PARTITION BY series_id ORDER BY i)), r(series_id, i, w0, w1, bad) AS (SELECT series_id, i, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM g WHERE i = 1 UNION ALL SELECT g.series_id, g.i, w0 + least(1.0, greatest(0.0, 1 - y * (w0 * f + w1 * h)) / (f * f + h * h + 1e-12)) * y * f, w1 + least(1.0, greatest(0.0, 1 - y * (w0 * f + w1 * h)) / (f * f + h * h + 1e-12)) * y * h, bad + (y * (w0 * f + w1 * h) <= 0)::BIGINT FROM r JOIN g ON g.series_id = r.series_id AND g.i = r.i + 1)", "SELECT series_id, max_by(w0, i) AS w0, max_by(w1, i) AS w1, max_by(bad, i) AS mistakes FROM r GROUP BY series_id"),
     "elliptic_envelope": ("d AS (SELECT series_id, t, x0 AS v, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS s FROM o), z AS (SELECT series_id, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS a, (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-9) AS b FROM d WHERE s IS NOT NULL WINDOW w AS (PARTITION BY series_id)), c AS (SELECT series_id, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM z GROUP BY series_id), m AS (SELECT z.series_id, (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) AS m FROM z JOIN c ON z.series_id = c.series_id), q AS (SELECT series_id, quantile_cont(m, 0.9) AS q FROM m GROUP BY series_id)", "SELECT m.series_id, count_if(m > q) AS n_anomalies, max(m) AS max_score FROM m JOIN q ON m.series_id = q.series_id GROUP BY m.series_id"),
 }
 
