@@ -41,6 +41,8 @@ SQL = {
     "mfdfa": ("y AS (SELECT series_id, t, count(*) OVER (PARTITION BY series_id) AS n, sum(x0 - m) OVER (PARTITION BY series_id ORDER BY t) AS y FROM (SELECT *, avg(x0) OVER (PARTITION BY series_id) AS m FROM o) q), w AS (SELECT series_id, s, t // s AS i, greatest(0, regr_syy(y, t % s) - coalesce(power(regr_sxy(y, t % s), 2) / regr_sxx(y, t % s), 0)) / s + 1e-12 AS v FROM y CROSS JOIN (VALUES (8), (11), (16), (22), (32)) z(s) WHERE n >= 2 * s AND t // s < n // s GROUP BY series_id, s, t // s), f AS (SELECT series_id, s, power(avg(power(v, -1)), -0.5) AS low, power(avg(v), 0.5) AS high FROM w GROUP BY series_id, s), g AS (SELECT series_id, regr_slope(ln(low), ln(s)) AS a, regr_slope(ln(high), ln(s)) AS b FROM f GROUP BY series_id)", "SELECT series_id, abs(a - b) AS multifractal_width, b AS hurst_q2 FROM g"),
     "lyapunov_exponent": ("e AS (SELECT * FROM (SELECT series_id, t, x0 AS a, lead(x0, 1) OVER w AS b, lead(x0, 2) OVER w AS c, count(*) OVER (PARTITION BY series_id) - 2 AS m FROM o WINDOW w AS (PARTITION BY series_id ORDER BY t)) q WHERE c IS NOT NULL), p AS (SELECT x.series_id, x.t AS i, y.t AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS d, x.m FROM e x JOIN e y ON x.series_id = y.series_id), near AS (SELECT series_id, i, min_by(j, d + j * 1e-13) AS j, min(d) AS d FROM p WHERE i < m - 5 AND j < m - 5 AND abs(i - j) > 2 GROUP BY series_id, i)", "SELECT near.series_id, avg(ln(greatest(p.d, 1e-12) / greatest(near.d, 1e-12)) / k) AS lyapunov FROM near CROSS JOIN (VALUES (1), (2), (3), (4), (5)) z(k) JOIN p ON p.series_id = near.series_id AND p.i = near.i + k AND p.j = near.j + k GROUP BY near.series_id"),
     "passive_aggressive_classifier": ("d AS (SELECT series_id, t - 1 AS i, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS d FROM o), e AS (SELECT series_id, i, d / (stddev_pop(d) OVER (PARTITION BY series_id) + 1e-9) AS d FROM d WHERE d IS NOT NULL), g AS (SELECT series_id, i, lag(d, 1) OVER w AS f, lag(d, 2) OVER w AS h, CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE -1.0 END AS y FROM e WINDOW w AS (PARTITION BY series_id ORDER BY i)), r(series_id, i, w0, w1, bad) AS (SELECT series_id, i, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM g WHERE i = 1 UNION ALL SELECT g.series_id, g.i, w0 + least(1.0, greatest(0.0, 1 - y * (w0 * f + w1 * h)) / (f * f + h * h + 1e-12)) * y * f, w1 + least(1.0, greatest(0.0, 1 - y * (w0 * f + w1 * h)) / (f * f + h * h + 1e-12)) * y * h, bad + (y * (w0 * f + w1 * h) <= 0)::BIGINT FROM r JOIN g ON g.series_id = r.series_id AND g.i = r.i + 1)", "SELECT series_id, max_by(w0, i) AS w0, max_by(w1, i) AS w1, max_by(bad, i) AS mistakes FROM r GROUP BY series_id"),
+    "ard_regression": ("c AS (SELECT series_id, count(*) AS n, avg(t) AS mt, avg(x0) AS mx FROM o GROUP BY series_id), g AS (SELECT o.series_id, max(n) AS n, sum(power(t - mt, 2)) AS tt, sum((t - mt) * (x0 - mx)) AS ty, sum(power(x0 - mx, 2)) AS yy FROM o JOIN c ON o.series_id = c.series_id GROUP BY o.series_id), r(series_id, k, a, b, m) AS (SELECT series_id, 0, 1.0::DOUBLE, 1 / (yy / n + 1e-12), 0.0::DOUBLE FROM g UNION ALL SELECT u.series_id, u.k + 1, u.w / (u.m * u.m + 1e-12), (u.n - u.w) / (u.yy - 2 * u.m * u.ty + u.m * u.m * u.tt + 1e-12), u.m FROM (SELECT r.series_id, r.k, g.n, g.tt, g.ty, g.yy, 1 - r.a / (r.a + r.b * g.tt) AS w, r.b * g.ty / (r.a + r.b * g.tt) AS m FROM r JOIN g ON r.series_id = g.series_id WHERE r.k < 100) u)", "SELECT r.series_id, m AS coef, 1 - (yy - 2 * m * ty + m * m * tt) / (yy + 1e-12) AS r2 FROM r JOIN g ON r.series_id = g.series_id WHERE k = 100"),
+    "bsts_forecast": ("d AS (SELECT series_id, t, x0, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS d FROM o), c AS (SELECT series_id, greatest(var_pop(x0), 1e-3) AS r, greatest(var_pop(d) / 6, 1e-3) AS q FROM d GROUP BY series_id), f(series_id, t, a, b, p, u, w) AS (SELECT o.series_id, o.t, x0, 0.0::DOUBLE, r, 0.0::DOUBLE, r FROM o JOIN c ON o.series_id = c.series_id WHERE t = 0 UNION ALL SELECT z.series_id, z.t, z.a + z.b + z.p / (z.p + z.r) * (z.x0 - z.a - z.b), z.b + z.u / (z.p + z.r) * (z.x0 - z.a - z.b), z.p - z.p * z.p / (z.p + z.r), z.u - z.p * z.u / (z.p + z.r), z.w - z.u * z.u / (z.p + z.r) FROM (SELECT o.series_id, o.t, o.x0, f.a, f.b, f.p + 2 * f.u + f.w + c.q AS p, f.u + f.w AS u, f.w + 1e-5 AS w, c.r FROM f JOIN o ON o.series_id = f.series_id AND o.t = f.t + 1 JOIN c ON c.series_id = f.series_id) z)", "SELECT series_id, max_by(a, t) AS level, max_by(b, t) AS slope, max_by(a + b, t) AS estimate FROM f GROUP BY series_id"),
     "elliptic_envelope": ("d AS (SELECT series_id, t, x0 AS v, x0 - lag(x0) OVER (PARTITION BY series_id ORDER BY t) AS s FROM o), z AS (SELECT series_id, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS a, (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-9) AS b FROM d WHERE s IS NOT NULL WINDOW w AS (PARTITION BY series_id)), c AS (SELECT series_id, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM z GROUP BY series_id), m AS (SELECT z.series_id, (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) AS m FROM z JOIN c ON z.series_id = c.series_id), q AS (SELECT series_id, quantile_cont(m, 0.9) AS q FROM m GROUP BY series_id)", "SELECT m.series_id, count_if(m > q) AS n_anomalies, max(m) AS max_score FROM m JOIN q ON m.series_id = q.series_id GROUP BY m.series_id"),
 }
 
