@@ -7,6 +7,7 @@ it ended.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from ..catalog import query
 from ..sources.tables import table
@@ -25,12 +27,26 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one in local mode alone."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="tidegauge-")
+    return f"{top.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that the stream has so far, as a table."""
-    name = f"out_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Everything that the stream has so far, as a table: Parquet files that the batches write, and no row on the driver."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    how = "overwrite" if mode == "complete" else "append"
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(how).parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    except AnalysisException:  # an empty stream has no batch
+        return spark.createDataFrame([], stream.schema)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
