@@ -99,3 +99,19 @@ def test_a_pipeline_of_nothing(spark, empty):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    """What is written to the shared folder needs no shuffle files any more; they used to stay until the driver collected its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, was = shuffled(), spark.conf.get(key, None)
+    rows = common.saved(spark.range(10_000).repartition(8, "id").groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    assert shuffled() <= old
+    assert rows.count() == 100
+    assert spark.conf.get(key, None) == was

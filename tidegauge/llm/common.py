@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -50,11 +51,27 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{top.rstrip('/')}/tidegauge/{kind}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def eager_cleanup(spark: SparkSession) -> Iterator[None]:
+    """A query that runs inside leaves no shuffle files behind. Else they stay until the driver happens to collect its garbage, which grows with the number of tasks and not with the size of the input."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def saved(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. The files go when the application ends."""
+    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost nothing, and shuffle files go at once. The files written go when the application ends."""
     bounded(df.sparkSession)
     path = shared_dir(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    with eager_cleanup(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     jvm = df.sparkSession._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
