@@ -66,3 +66,20 @@ def rows_of_query(spark, name, f):
 
 def test_lstm_query(spark):
     rows_of_query(spark, "lstm_forecaster", lambda x: d.trained(x, lstm_forecaster))
+
+
+def transformer_forecaster(w, a):
+    x = d.tokens(w, a)
+    heads = concat([d.attention(w, f"h{k}", x, x, x, d.CAUSAL) for k in range(2)])
+    x = d.normed(x + w.linear("mix", heads, d.DIM))
+    x = d.normed(x + w.linear("down", w.linear("up", x, 2 * d.DIM).relu(), d.DIM))
+    return w.linear("out", x[:, -1], 1)
+
+
+def test_transformer_forecaster():
+    same_sooner(lambda x: d.trained(x, transformer_forecaster), lambda xs: d.trained_together(xs, d.transformer_forecaster), 2)
+    assert d.trained(SERIES[3], d.transformer_forecaster) == pytest.approx(d.trained(SERIES[3], transformer_forecaster), rel=1e-8)
+
+
+def test_transformer_query(spark):
+    rows_of_query(spark, "transformer_forecaster", lambda x: d.trained(x, transformer_forecaster))
