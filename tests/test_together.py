@@ -7,7 +7,7 @@ import pytest
 
 from tidegauge import catalog
 from tidegauge.operators import deep as d
-from tidegauge.operators.autograd import concat, var
+from tidegauge.operators.autograd import Weights, concat, var
 from tidegauge.operators.kernels import by_length
 
 SERIES = [np.round(np.random.default_rng(k).exponential(50, 32 + 7 * k % 61), 2) for k in range(24)]
@@ -83,3 +83,32 @@ def test_transformer_forecaster():
 
 def test_transformer_query(spark):
     rows_of_query(spark, "transformer_forecaster", lambda x: d.trained(x, transformer_forecaster))
+
+
+def a3c_policy(x, workers=3):
+    a, r, q = d.moves(x)
+    w, rng = Weights(), np.random.default_rng(4)
+    body = lambda v: w.linear("in", var(v), d.DIM).tanh()
+    for _ in range(d.STEPS):
+        for k in range(workers):
+            at = np.arange(k, len(a), workers)
+            h = body(a[at])
+            p, value = w.linear("pi", h, 3).softmax(), w.linear("v", h, 1)
+            act = np.array([rng.choice(3, p=row / row.sum()) for row in p.value])
+            reward = r[at, act][:, None]
+            log = p.log()
+            gain = (log[np.arange(len(at)), act].reshape(-1, 1) * (reward - value.value)).mean()
+            e = value - reward
+            w.step((e * e).mean() * 0.5 - gain + (p * log).sum(-1).mean() * 0.01, d.RATE)
+    h = body(q)
+    p = w.linear("pi", h, 3).softmax().value[0]
+    return p.argmax() - 1, p.max(), float(w.linear("v", h, 1).value[0, 0])
+
+
+def test_a3c_policy():
+    same_sooner(a3c_policy, d.a3c_policies, 4)
+    assert d.a3c_policy(SERIES[3]) == pytest.approx(a3c_policy(SERIES[3]), rel=1e-8)
+
+
+def test_a3c_query(spark):
+    rows_of_query(spark, "a3c_policy", a3c_policy)
