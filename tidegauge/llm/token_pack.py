@@ -12,6 +12,7 @@ position and by document.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -29,6 +30,11 @@ BLOCK_IDS = 1 << 16
 REMEMBERED = 1_600_000
 #: The same in the pipeline, where executors have run other stages before and hold more memory.
 STAGE_REMEMBERED = 600_000
+#: A run of these after a letter is a piece of its own to a byte-level pre-tokenizer (an apostrophe may begin an ending).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+REMEMBERED_MARKS = 10_000
+#: Finds a character beyond the Latin letters, which are letters in every version of Unicode.
+BEYOND = re.compile("[^\0-\u024f]").search
 
 
 def bits_for(vocabulary: int) -> int:
@@ -81,7 +87,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -98,17 +104,24 @@ class Encoder:
             self.spaced[i] = token.startswith("\u0120")
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.falls_apart else []
         self.falls_apart = self.falls_apart and len(self.line_end) == 1
-        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
+        self.marks: dict[str, bytes] = {}
+        # another for pieces of letters alone, which no pattern has to cut, and which come once: those seen are known here
+        self.letters = self.tokenizer
+        if self.falls_apart and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.letters = Tokenizer.from_file(path)
+            self.letters.encode_special_tokens = True
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)])
+            self.letters.model._resize_cache(0)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], by: str) -> list[bytes]:
+    def _joined(self, pieces: list[str], by: str, tokenizer=None) -> list[bytes]:
         """Ids of each piece, a space before it included if by is one, from encoding all as one text."""
         if not pieces:
             return []
         text = by + by.join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         if by == " ":
             start = np.flatnonzero(self.spaced[ids])
             end = np.append(start[1:], len(ids))
@@ -131,32 +144,43 @@ class Encoder:
         split, values, gaps, new, tails = [], [], [], {}, []
         for t in texts:
             pieces = ("\0" + t).replace("\n", " \n").split(" ")  # \0 marks the text's begin
-            found = list(map(get, pieces))
-            missing = [i for i, v in enumerate(found) if v is None] if None in found else []
+            found = list(map(get, pieces)) if "\0" not in t else None  # one of its own: the library takes this text whole
+            missing = [i for i, v in enumerate(found) if v is None] if found is not None and None in found else []
             for i in missing:
                 p = pieces[i]
                 rest = p[1:] if p[:1] in ("\0", "\n") else p
-                if not rest or rest[0].isspace() or rest[-1].isspace() or p[0] == "\0" and "\0" in rest:
+                if not rest or rest[0].isspace() or rest[-1].isspace():
                     found = None  # spaces in a row or at an end: the library takes this text whole
                     break
-                if rest[-1] in ".," and rest[-2:-1].isalpha():  # a token of its own after a letter
-                    tails.append(p)
-                    p = p[:-1]
-                    if p in known:
-                        continue
+                if rest[-1] in MARKS:
+                    start = p.rstrip(MARKS)
+                    if start[-1:].isalpha():  # a run of marks after a letter has tokens of its own
+                        tails.append((p, start))
+                        p = start
+                        if p in known:
+                            continue
                 new[p] = None
             split.append(pieces)
             values.append(found)
             gaps.append(missing)
-        plain = [p for p in new if p[0] not in "\0\n"]
-        first = [p for p in new if p[0] in "\0\n"]
+        plain, letters, first = [], [], []
+        for p in new:
+            (letters if p.isalpha() else first if p[0] in "\0\n" else plain).append(p)
+        if BEYOND("".join(letters)):  # letters here might be none to the library
+            plain, letters = plain + letters, []
+        new.update(zip(letters, self._joined(letters, " ", self.letters), strict=True))
         new.update(zip(plain, self._joined(plain, " "), strict=True))
         line_end = np.array(self.line_end, "<u4").tobytes()
         for p, ids in zip(first, self._joined([p[1:] for p in first], "\n"), strict=True):
             new[p] = ids if p[0] == "\0" else line_end + ids
-        for p in tails:
-            start = p[:-1]
-            new[p] = (known[start] if start in known else new[start]) + self.marks[p[-1]]
+        marks = self.marks
+        for p, start in tails:
+            run = p[len(start) :]
+            if run not in marks:
+                if len(marks) > REMEMBERED_MARKS:
+                    marks.clear()
+                marks[run] = self.whole([run])[0]
+            new[p] = (known[start] if start in known else new[start]) + marks[run]
         out = []
         for t, pieces, found, missing in zip(texts, split, values, gaps, strict=True):
             if found is None:
@@ -165,7 +189,7 @@ class Encoder:
             for i in missing:
                 found[i] = new[pieces[i]]
             out.append(b"".join(found))
-        known.update((p, ids) for p, ids in new.items() if len(p) < 40)
+        known.update(new if max(map(len, new), default=0) < 40 else {p: ids for p, ids in new.items() if len(p) < 40})
         return out
 
 
