@@ -7,7 +7,7 @@ from tidegauge import catalog
 from tidegauge.operators import kernels_more as m
 
 
-@pytest.mark.parametrize("name", ["gbr_forecast"])
+@pytest.mark.parametrize("name", ["adaboost_forecast", "gbr_forecast"])
 def test_cuts_of_a_table_are_laid_out_once(monkeypatch, name):
     f, eighths, sizes = getattr(m, name), m.eighths, []
     xs = [np.round(np.random.default_rng(k).exponential(50, 60 + k), 2) for k in range(4)]
@@ -22,7 +22,7 @@ def test_cuts_of_a_table_are_laid_out_once(monkeypatch, name):
     assert [f(x)[0] for x in xs[::-1]] == want[::-1]
 
 
-@pytest.mark.parametrize("name", ["gbr_forecast"])
+@pytest.mark.parametrize("name", ["adaboost_forecast", "gbr_forecast"])
 def test_series_go_to_the_worker_together(spark, name):
     xs = [*(np.round(np.random.default_rng(k).exponential(50, 40 + k), 2) for k in range(6)), np.ones(50), np.arange(20.0)]
     rows = [(t, t, s, "view", float(v)) for s, x in enumerate(xs) for t, v in enumerate(x)]
