@@ -70,3 +70,47 @@ def test_stage_takes_any_names(spark, edge):
     got = ngram_join.stage(spark, clash, edge)
     assert got.columns == clash.columns
     assert got.count() == ngram_join.stage(spark, docs, edge).count()
+
+
+def sets_of_sizes(spark, sizes):
+    """Rows (g, c, grams, ball) of one region: sets of the first grams, so those of like size link."""
+    rows = [(1, 1000 + i, np.arange(n, dtype=np.uint64).tobytes(), 7 if i % 9 == 0 else None) for i, n in enumerate(sizes)]
+    return spark.createDataFrame(rows, "g long, c long, grams binary, ball long")
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_hold_those_that_can_link(spark, percent):
+    """Rows go to blocks of like size alone, and every pair that can link meets, but for pairs of the greatest ball."""
+    rule = ngram_join.Rule(5, percent)
+    sizes = np.unique(np.geomspace(1, 3000, 900).astype(int)).tolist() + [400] * 300
+    dealt = ngram_join.block_rows(ngram_join.sized(sets_of_sizes(spark, sizes), rule), 40).select("g", "c").collect()
+    regions = {}
+    for r in dealt:
+        regions.setdefault(r["c"] - 1000, set()).add(r["g"])
+    for i, n in enumerate(sizes):
+        for j in range(i):
+            if rule.linked(min(n, sizes[j]), n, sizes[j]) and (i % 9 or j % 9):
+                assert regions[i] & regions[j]
+    assert len(dealt) < 0.6 * len(sizes) * len(sizes) / 20
+
+
+def test_blocks_go_in_rounds(spark, monkeypatch):
+    """What a round moves stays at its limit, and all rounds together give what one gives."""
+    rule = ngram_join.Rule(5, 80)
+    rows = ngram_join.block_rows(ngram_join.sized(sets_of_sizes(spark, range(20, 220)), rule), 20)
+    moved = []
+    plain = ngram_join.solved
+    monkeypatch.setattr(ngram_join, "solved", lambda rows, *a: moved.append(rows.agg(F.sum(F.length("grams"))).first()[0]) or plain(rows, *a))
+
+    def components(most):
+        moved.clear()
+        pairs = None
+        for x in ngram_join.in_rounds(rows, rule, 4, most):
+            pairs = x if pairs is None else pairs.union(x)
+        return sorted(map(tuple, ngram_join.connected(pairs.where("c != f").select(F.col("c").alias("a"), F.col("f").alias("b"))).collect()))
+
+    whole = components(1 << 40)
+    total = moved[0]
+    assert components(total // 5) == whole
+    assert len(moved) >= 5 and max(moved) < total / 2.5 and sum(moved) == total
+    assert len({f for _, f in whole}) == 1 and len(whole) == 200

@@ -30,6 +30,8 @@ LEAF = 500
 PIVOTS, MOST_DEPTH, SALTS = 12, 4, 32
 #: Tasks of a shuffle at the most; a driver keeps track of no more. Beyond 10**11 grams tasks grow.
 MOST_PARTS = 100_000
+#: Bytes of grams that a round of pairs of blocks moves, or a quarter of the grams of all documents if that is more.
+ROUND_BYTES = 1 << 28
 #: Rows of class keys up to which a semi join sends them to all executors (8 bytes each); more are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -560,22 +562,48 @@ def by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return count.where(F.col("size") <= limit), count.where(F.col("size") > limit)
 
 
+def sized(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows with a level of their sets' sizes, such that sets that link are of one level or of neighbouring ones."""
+    most = rows.agg(F.max(F.length("grams"))).first()[0] or 0
+    low = [1, 2]
+    while low[-1] <= most // 8:
+        low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // rule.percent + 1))
+    n = F.length("grams") / 8
+    return rows.withColumn("level", F.size(F.filter(F.lit(low), lambda x: x <= n)))
+
+
 def block_rows(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of irreducible regions, dealt to pairs of blocks: each pair of rows that is not of the region's greatest ball meets in one region at least."""
+    """Rows of irreducible regions, dealt to pairs of blocks: each pair of rows of one or of neighbouring levels that is not of the region's greatest ball meets in one region at least."""
     sizes = rows.groupBy("g", "ball").agg(F.count("*").alias("k"))
     top = sizes.where("ball IS NOT NULL").groupBy("g").agg(F.max_by("ball", "k").alias("top"))
     rows = rows.join(top, "g", "left").withColumn("in_top", F.coalesce(F.col("ball") == F.col("top"), F.lit(False)))
-    n = rows.groupBy("g").agg(F.count_if("in_top").alias("a"), F.count_if(~F.col("in_top")).alias("o"))
-    blocks = lambda c: F.ceil(F.col(c) / (limit // 2)).cast("int")
-    rows = rows.join(n.select("g", blocks("a").alias("a"), blocks("o").alias("o")), "g")
-    own = F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.when(F.col("in_top"), F.col("a")).otherwise(F.col("o")))).cast("int")
-    rows = rows.withColumn("own", F.when(F.col("in_top"), -1 - own).otherwise(own))  # blocks of the ball are below 0
-    ours = F.when(F.col("o") > 0, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.array().cast("array<int>"))
-    theirs = F.when((F.col("a") > 0) & ~F.col("in_top"), F.sequence(-F.col("a"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("g", "c", "grams", "ball", "own", F.explode(F.concat(ours, theirs)).alias("other"))
+    kind = lambda level, in_top: 2 * level + in_top
+    rows = rows.withColumn("kind", kind(F.col("level"), F.col("in_top").cast("int")))
+    n = rows.groupBy("g", "kind").agg(F.ceil(F.count("*") / (limit // 2)).cast("int").alias("n"))
+    n = n.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("blocks"))
+    rows = rows.join(F.broadcast(n), "g")  # a row for each region that has more rows than one task joins
+
+    def named(kind, block):
+        return kind.cast("long") * (1 << 32) + block
+
+    def others(level, in_top: int):
+        of = kind(level, F.lit(in_top))
+        count = F.coalesce(F.try_element_at("blocks", of), F.lit(0))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: named(of, i))).otherwise(F.array().cast("array<bigint>"))
+
+    own = named(F.col("kind"), F.pmod(F.xxhash64("c"), F.col("blocks")[F.col("kind")]))
+    near = [F.col("level") + i for i in (-1, 0, 1)]
+    theirs = F.when(~F.col("in_top"), F.concat(*[others(level, 1) for level in near])).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("g", "c", "grams", "ball", own.alias("own"), F.explode(F.concat(*[others(level, 0) for level in near], theirs)).alias("other"))
     return rows.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "c", "grams", "ball")
 
 
+def in_rounds(rows: DataFrame, rule: Rule, n_parts: int, most: int) -> list[DataFrame]:
+    """solved() of all regions, in rounds that move about `most` bytes each: rows dealt to pairs of blocks grow with the square of a region, and the disk need not."""
+    rounds = max(1, -(-(rows.agg(F.sum(F.length("grams"))).first()[0] or 0) // most))
+    return [common.saved(solved(rows.where(F.pmod("g", F.lit(rounds)) == i), rule, n_parts), "blocks") for i in range(rounds)]
+
+
 def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """(c, f): classes that link with any other, with the least class of their component. docs: (id, text)."""
     total = classes.where("n > 0").agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -625,7 +653,7 @@ def links(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
         found.append(edges.select(F.col("b").alias("c"), F.col("a").alias("f")))
         # regions that keep most of a family's rows would never get small: what is not one ball there goes to blocks
         if depth == MOST_DEPTH - 1 or cut.count() > 0.5 * PIVOTS * rows.count():
-            found.append(solved(block_rows(uncut, LEAF), rule, parts))
+            found += in_rounds(block_rows(sized(uncut, rule), LEAF), rule, parts, max(ROUND_BYTES, 2 * total))
             break
         rows = cut
     pairs = found[0]
