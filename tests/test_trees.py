@@ -46,3 +46,17 @@ def test_same_trees_sooner(monkeypatch, name, least):
     old, slow = timed()
     assert new == pytest.approx(old, rel=1e-9)
     assert fast * least < slow
+
+
+def test_a_forest_is_grown_out():
+    """Fifty trees with no limit of depth; the next value of a map with many steps is found, which eight leaves can't tell."""
+    for x in (series(1), series(2)):
+        a, y, q = m.on_lags(x)
+        rng = np.random.default_rng(0)
+        trees = []
+        for _ in range(50):
+            i = rng.integers(0, len(y), len(y))
+            trees.append(plain(a[i], y[i], 10**6))
+        assert m.rf_forecast(x)[0] == pytest.approx(np.mean([m.fall(t, q)[0] for t in trees]), rel=1e-9)
+    x = (np.arange(400) * 7 % 40).astype(float)
+    assert m.rf_forecast(x)[0] == pytest.approx(400 * 7 % 40, abs=0.5)
